@@ -25,6 +25,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left after every repeated window of 20 words is removed but for its first occurrence."""
+    from bspgraph.llm.substring import removal_digest
+
+    return removal_digest(spark, table(spark, sf_dir, "documents"), window=20)
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the automaton and decoded again."""
     from bspgraph.llm.bpe import bpe_round_trip
@@ -33,7 +40,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op2_token_counts, op6_substring_dedup, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
