@@ -25,6 +25,13 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked at a Jaccard similarity of 0.85 on 3-word shingles."""
+    from bspgraph.llm.neardup import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after every repeated window of 20 words is removed but for its first occurrence."""
     from bspgraph.llm.substring import removal_digest
@@ -40,7 +47,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op6_substring_dedup, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op6_substring_dedup, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
