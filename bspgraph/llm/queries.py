@@ -39,6 +39,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(spark, table(spark, sf_dir, "documents"), window=20)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside any 13-word window of a benchmark item."""
+    from bspgraph.llm.decontaminate import contamination
+
+    out = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
+    return out.drop("items")
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the automaton and decoded again."""
     from bspgraph.llm.bpe import bpe_round_trip
@@ -47,7 +55,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op6_substring_dedup, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op6_substring_dedup, op7_benchmark_decontamination, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
