@@ -32,6 +32,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equal row counts along a Hilbert curve over language, source and size."""
+    from bspgraph.llm.hilbert import hilbert_shards
+
+    out = hilbert_shards(spark, table(spark, sf_dir, "documents"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after every repeated window of 20 words is removed but for its first occurrence."""
     from bspgraph.llm.substring import removal_digest
@@ -55,7 +63,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op6_substring_dedup, op7_benchmark_decontamination, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
