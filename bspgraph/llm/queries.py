@@ -55,6 +55,21 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.drop("items")
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image in tar shards, read back and described."""
+    from bspgraph.llm.media import media_columns
+
+    out = media_columns(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text in files of independent frames, and what a reader finds there."""
+    from bspgraph.llm.token_files import token_files
+
+    return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by the automaton and decoded again."""
     from bspgraph.llm.bpe import bpe_round_trip
@@ -63,7 +78,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op8_media_columns, op9_token_files, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
