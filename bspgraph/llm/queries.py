@@ -18,6 +18,16 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every whole text, learned from labels outside the held-out quarter."""
+    from bspgraph.llm.toxicity import held_out, toxicity_scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(spark, docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scores = toxicity_scores(spark, docs, model)
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text by the two-tier lookup."""
     from bspgraph.llm.token_counts import token_counts
@@ -78,7 +88,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op8_media_columns, op9_token_files, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op8_media_columns, op9_token_files, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:

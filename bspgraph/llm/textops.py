@@ -52,9 +52,11 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Word bounds of many documents: ``start``/``end`` byte positions and ``doc`` of each word, ``first`` word of each document."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, table: np.ndarray | None = None):
+        """``table`` maps each byte before words are cut; ``lower`` is short for the one that lower-cases A-Z."""
         data, self.offsets = string_buffers(texts)
-        self.data = LOWER[data] if lower else data
+        table = LOWER if lower else table
+        self.data = data = data if table is None else table[data]
         n, docs = len(data), len(self.offsets) - 1
         space = SPACE[data]
         edge = np.zeros(n + 1, bool)
