@@ -40,6 +40,7 @@ _rng = np.random.default_rng(20_24)
 _MULT = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
 BLOOM_BITS = 1 << 25
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -110,9 +111,9 @@ def _sketches(size: int, trees: int, similarity: float):
                     paths[r].append(p)
             n = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()),
+                batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()),
                 pa.array([x if k else [] for x, k in zip(paths, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in tokens], pa.binary()),
-            ], ["id", "n_shingles", "digest", "paths", "tokens"])
+            ], ["id", "key", "n_shingles", "digest", "paths", "tokens"])
 
     return rows
 
@@ -195,8 +196,8 @@ class _Join:
         self.spark, self.size, self.percent, self.node_size, self.most_levels = spark, size, percent, node_size, most_levels
         self.similarity = percent / 100
         self.scratch = Scratch(spark, "neardup")
-        self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-        sketch = "id long, n_shingles long, digest binary, paths array<long>, tokens binary"
+        self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
+        sketch = "id long, key long, n_shingles long, digest binary, paths array<long>, tokens binary"
         self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity), sketch), "sketches")
         self.classes = self.scratch.save(
             self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("paths").alias("paths")), "classes"
@@ -302,7 +303,7 @@ def near_duplicates(
     spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80,
     recall: float = 0.99999, node_size: int = 48, most_levels: int = 8,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row; documents are linked at 100 * common >= percent * united shingles."""
+    """(id, key, n_shingles, component_id, kept) of every row, key being the text's xxhash64; documents are linked at 100 * common >= percent * united shingles."""
     trees = max(2, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
     run = _Join(spark, docs, id_column, text_column, shingle, percent, trees, node_size, most_levels)
     # The first tree alone: it finds most links, and what it decides need not travel again for the others.
@@ -316,6 +317,21 @@ def near_duplicates(
         lowest = joined.join(least, "root").select("digest", "component_id")
     else:
         lowest = lowest.withColumnRenamed("rep", "component_id")
-    out = run.sketches.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(lowest, "digest", "left")
+    out = run.sketches.select("id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(lowest, "digest", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias(id_column), "key", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each class: the one whose id names it. Rows equal in id and text are one document."""
+    scratch = Scratch(spark, "kept")
+    found = near_duplicates(spark, docs, id_column, text_column, shingle, percent).withColumnRenamed(id_column, "i")
+    found = scratch.save(found.select("i", "key", "kept"), "found")
+    gone = scratch.save(found.where(~F.col("kept")).select("i", "key").distinct(), "gone")
+    # Ids of the removed documents are broadcast while they are few and joined by shuffle beyond that.
+    rows = gone.count()
+    match = docs[id_column].cast("long").eqNullSafe(gone["i"]) & (F.xxhash64(docs[text_column]) == gone["key"])
+    left = docs.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, match, "left_anti")
+    if found.where("kept").groupBy("i", "key").count().where("count > 1").isEmpty():
+        return left
+    return left.dropDuplicates([id_column, text_column])

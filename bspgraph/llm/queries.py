@@ -35,11 +35,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op3_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation 2k as chosen and 2k+1 as rejected of pair k."""
+    from bspgraph.llm.preference import preference_pairs
+
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.expr("conv_id div 2"))
+    return preference_pairs(turns.where("conv_id % 2 = 0"), turns.where("conv_id % 2 = 1"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents linked at a Jaccard similarity of 0.85 on 3-word shingles."""
     from bspgraph.llm.neardup import near_duplicates
 
-    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, percent=85).drop("key")
 
 
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +96,10 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op8_media_columns, op9_token_files, op10_bpe_automaton)}
+    return {f.__name__: f for f in (op1_toxicity, op2_token_counts, op3_preference_formatting, op4_minhash_near_dedup, op5_hilbert_sharding, op6_substring_dedup, op7_benchmark_decontamination, op8_media_columns, op9_token_files, op10_bpe_automaton)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from bspgraph.llm.preference import ORACLE
+
+    return {"op3_preference_formatting": ORACLE}
