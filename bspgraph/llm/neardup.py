@@ -14,8 +14,9 @@ Large nodes, mostly families of near copies, never meet in one task:
 - nodes with many outsiders branch on.
 After ``most_levels`` the block comparison is used whatever the number of outsiders, so no pair of a shared node is lost.
 
-The sets themselves travel only for documents that stand in some undecided node; a Bloom filter of bounded size keeps the rest
-from being rebuilt.
+Before sets travel, the documents of a block are compared on sketches of one byte a minwise token. Those whose sketches agree as a
+pair at the threshold would (less five standard errors) form candidate groups; groups that several trees find are compared once.
+The sets themselves travel only for documents of candidate groups; a Bloom filter of bounded size keeps the rest from being rebuilt.
 
 Cases: null and empty texts have no shingles and link with nothing; a class is named by its smallest id that isn't null; a text of fewer words than a shingle is one shingle; rows
 with equal sets are one class; rows that share an id are told apart by their sets; an empty table gives an empty result.
@@ -23,10 +24,12 @@ with equal sets are one class; rows that share an id are told apart by their set
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,7 +116,8 @@ def _sketches(size: int, trees: int, similarity: float):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()),
                 pa.array([x if k else [] for x, k in zip(paths, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in tokens], pa.binary()),
-            ], ["id", "key", "n_shingles", "digest", "paths", "tokens"])
+                pa.array([x.astype(np.uint8).tobytes() for x in tokens], pa.binary()),
+            ], ["id", "key", "n_shingles", "digest", "paths", "tokens", "sketch"])
 
     return rows
 
@@ -166,6 +170,81 @@ def links_of_block(names: list[bytes], sets: list[np.ndarray], roots: list[bytes
     return out
 
 
+def candidate_groups(sketches: np.ndarray, roots: list[bytes], outside: list[bool], least: int) -> list[list[int]]:
+    """Row numbers of one block that agree in ``least`` tokens, directly or through others; groups of one component are left out."""
+    n = len(roots)
+    close = np.zeros((n, n), bool)
+    for k in range(n):
+        close[k] = (sketches[k] == sketches).sum(1) >= least
+    names = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    root = np.array([names[r] for r in roots])
+    close &= root[:, None] != root
+    if any(outside):
+        side = np.array(outside)
+        close &= side[:, None] | side
+    left, out = set(np.flatnonzero(close.any(1)).tolist()), []
+    while left:
+        group, ahead = [], [left.pop()]
+        while ahead:
+            k = ahead.pop()
+            group.append(k)
+            new = left.intersection(np.flatnonzero(close[k]).tolist())
+            left -= new
+            ahead += new
+        out.append(sorted(group))
+    return out
+
+
+def _candidates(least: int):
+    """Rows (block, digest, root, outside, sketch), sorted by block, to (name, digest, root, outside) of candidate groups."""
+    def of(held: dict) -> list[tuple[int, bytes, bytes, bool]]:
+        if len(held) < 2:
+            return []
+        names, rows = list(held), list(held.values())
+        sketches = np.frombuffer(b"".join(x[2] for x in rows), np.uint8).reshape(len(rows), TOKENS)
+        outside = [x[1] for x in rows]
+        found = []
+        for group in candidate_groups(sketches, [x[0] for x in rows], outside, least):
+            members = sorted(names[k] for k in group)
+            # Equal groups get equal names, whichever block found them.
+            name = int.from_bytes(hashlib.blake2b(b"".join(members) + bytes(outside[k] for k in group), digest_size=8).digest(), "little", signed=True)
+            found += [(name, names[k], rows[k][0], outside[k]) for k in group]
+        return found
+
+    def rows(batches):
+        held: dict[bytes, tuple[bytes, bool, bytes]] = {}
+        block = None
+        for batch in batches:
+            found = []
+            for b, name, root, outside, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != block:
+                    found += of(held)
+                    block, held = b, {}
+                held[name] = (root, bool(outside or (name in held and held[name][1])), sketch)
+            yield _groups(found)
+        yield _groups(of(held))
+
+    return rows
+
+
+def _groups(found: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], ["block", "digest", "root", "outside"])
+
+
+def pack_set(values: np.ndarray) -> bytes:
+    """An ascending set at 48 bits a shingle, as compressed deltas: about 5 bytes each."""
+    steps = np.diff(values >> np.uint64(16), prepend=np.uint64(0))
+    return len(values).to_bytes(4, "little") + zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T[:6]).tobytes(), 1)
+
+
+def unpack_set(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.zeros((8, n), np.uint8)
+    planes[:6] = np.frombuffer(zstandard.decompress(blob[4:]), np.uint8).reshape(6, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(n), dtype=np.uint64)
+
+
 def _compare(percent: int):
     """Rows (block, digest, root, outside, set), sorted by block, to links; a block is held only while it is read."""
     def rows(batches):
@@ -178,7 +257,7 @@ def _compare(percent: int):
                     found += links_of_block(list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()], percent)
                     block, held = b, {}
                 old = held.get(name)
-                held[name] = (np.frombuffer(values, np.uint64), root, bool(outside or (old and old[2])))
+                held[name] = (unpack_set(values), root, bool(outside or (old and old[2])))
             yield _links(found)
         yield _links(links_of_block(list(held), [x[0] for x in held.values()], [x[1] for x in held.values()], [x[2] for x in held.values()], percent))
 
@@ -197,10 +276,10 @@ class _Join:
         self.similarity = percent / 100
         self.scratch = Scratch(spark, "neardup")
         self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
-        sketch = "id long, key long, n_shingles long, digest binary, paths array<long>, tokens binary"
+        sketch = "id long, key long, n_shingles long, digest binary, paths array<long>, tokens binary, sketch binary"
         self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity), sketch), "sketches")
         self.classes = self.scratch.save(
-            self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("paths").alias("paths")), "classes"
+            self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "classes"
         )
         self.links: list[DataFrame] = []
         self.roots: DataFrame | None = None
@@ -234,19 +313,23 @@ class _Join:
                 hit = bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1
                 for part in chunks([batch.filter(pa.array(hit.astype(bool)))], 1):
                     sets = shingle_sets(part.column(1).fill_null(""), size)
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["digest", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([pack_set(x) for x in sets], pa.binary())], ["digest", "set"])
 
         where = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("p")
         return self.source.select(where, "text").mapInArrow(rows, "digest binary, set binary")
 
     def compare(self, blocks: DataFrame) -> None:
         """Compare (block, digest, root, outside) rows and fold the links found into the components."""
-        blocks = self.scratch.save(blocks, "blocks")
-        sets = self.sets(blocks.select("digest").distinct())
-        rows = blocks.join(sets, "digest").select("block", "digest", "root", "outside", "set")
+        least = math.floor(TOKENS * self.similarity - 5 * math.sqrt(TOKENS * self.similarity * (1 - self.similarity)))
+        rows = blocks.join(self.classes.select("digest", "sketch"), "digest").select("block", "digest", "root", "outside", "sketch")
+        groups = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(least), "block long, digest binary, root binary, outside boolean")
+        groups = self.scratch.save(groups.dropDuplicates(["block", "digest"]), "groups")
+        if groups.isEmpty():
+            return
+        rows = groups.join(self.sets(groups.select("digest").distinct()), "digest").select("block", "digest", "root", "outside", "set")
         found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(self.percent), "a binary, b binary")
         found = self.scratch.save(found.distinct(), "links")
-        self.scratch.drop(blocks)
+        self.scratch.drop(groups)
         if found.isEmpty():
             return
         old = [self.roots.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a < b")] if self.roots is not None else []
