@@ -5,7 +5,7 @@
 2. The kept entries go, packed and compressed, to buckets of the hash range. There each hash that came from several chunks is
    counted and every entry but the earliest by (id, start) is a repeat.
 3. Repeats return to their chunk, where the windows of each document merge into maximal removal intervals.
-4. Intervals meet the texts by a join on (id, hash of the text).
+4. Intervals meet the texts by a join on (id, hash of the text); a Bloom filter of fixed size keeps texts without any from moving.
 
 The number of buckets follows the bytes of the corpus, so a bucket always holds about ``bucket_bytes`` of text.
 
@@ -52,16 +52,16 @@ def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(_from_planes(data, n, np.uint64), dtype=np.uint64), _from_planes(data[8 * n :], n, np.uint16), _from_planes(data[10 * n :], n, np.uint32).astype(np.int64)
 
 
-def pack_docs(ids: np.ndarray, first: np.ndarray, key: np.ndarray) -> bytes:
-    """Ids, first words and text hashes of a chunk's documents."""
-    return len(ids).to_bytes(4, "little") + zstandard.compress(_planes(np.diff(ids.view(np.uint64), prepend=np.uint64(0))) + _planes(first.astype(np.uint32)) + key.tobytes(), 1)
+def pack_docs(ids: np.ndarray, first: np.ndarray, key: np.ndarray | None = None) -> bytes:
+    """Ids and first words of a chunk's documents, and their text hashes where the intervals are named."""
+    return len(ids).to_bytes(4, "little") + zstandard.compress(_planes(np.diff(ids.view(np.uint64), prepend=np.uint64(0))) + _planes(first.astype(np.uint32)) + (b"" if key is None else key.tobytes()), 1)
 
 
-def unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     n = int.from_bytes(blob[:4], "little")
     data = memoryview(zstandard.decompress(blob[4:]))
     ids = np.cumsum(_from_planes(data, n, np.uint64), dtype=np.uint64).view(np.int64)
-    return ids, _from_planes(data[8 * n :], n, np.uint32).astype(np.int64), np.frombuffer(data[12 * n :], np.int64, n)
+    return ids, _from_planes(data[8 * n :], n, np.uint32).astype(np.int64), np.frombuffer(data[12 * n :], np.int64, n) if len(data) > 12 * n else None
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -82,7 +82,7 @@ def chunk_entries(batch: pa.RecordBatch, window: int):
     word_hash = words.hashes()
     h, at = words.windows(word_hash, window)
     name = int(np.bitwise_xor.reduce(mix(mix(ids.view(np.uint64)) + key.view(np.uint64)))) & (2**63 - 1)
-    table = pack_docs(ids, words.first[:-1], key)
+    table = (ids, words.first[:-1], key)
     if not len(h):
         return name, table, None, np.zeros(0, np.int64)
     second = word_hash[: len(word_hash) - window + 1].copy()
@@ -125,12 +125,11 @@ def _entry_rows(window: int, buckets: int):
             cut = np.flatnonzero(np.diff(where, prepend=-1))
             ends = [*cut[1:], len(h)]
             blobs = [pack_entries(h[a:b], extra[a:b], at[a:b]) for a, b in zip(cut, ends, strict=True)]
-            keys, kinds = where[cut].tolist(), [0] * len(cut)
-            if len(repeats):
-                keys.append(name % buckets)
-                kinds.append(1)
-                blobs.append(pack_numbers(repeats))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(kinds, pa.int32()), pa.array([table] * len(keys), pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "kind", "docs", "entries"])
+            # One more row for the chunk itself: its repeats so far and, once, what names its documents.
+            keys, kinds = [*where[cut].tolist(), name % buckets], [0] * len(cut) + [1]
+            docs = [pack_docs(*table[:2])] * len(cut) + [pack_docs(*table)]
+            blobs.append(pack_numbers(repeats))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(kinds, pa.int32()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "kind", "docs", "entries"])
 
     return rows
 
@@ -170,14 +169,14 @@ def _later(table: pa.Table) -> pa.Table:
             late = order[(i != i[head]) | (s != s[head])]
             source, at = source[late], at[late]
             for s in np.unique(source):
-                out.append((names[mine[s]], docs[mine[s]], pack_numbers(np.sort(at[source == s]))))
+                out.append((names[mine[s]], None, pack_numbers(np.sort(at[source == s]))))
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "docs": pa.array([x[1] for x in out], pa.binary()), "words": pa.array([x[2] for x in out], pa.binary())})
 
 
 def _spans(window: int):
     def spans(table: pa.Table) -> pa.Table:
         """Of one chunk: each affected document's removal intervals as [from, to, from, to, ...] word numbers."""
-        ids, first, key = unpack_docs(table["docs"][0].as_py())
+        ids, first, key = unpack_docs(table["docs"].drop_null()[0].as_py())
         at = np.unique(np.concatenate([unpack_numbers(x) for x in table["words"].to_pylist()]))
         doc = np.searchsorted(first, at, side="right") - 1
         new = np.ones(len(at), bool)
@@ -205,11 +204,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column:
     return spans.dropDuplicates(["k_id", "k_text"])
 
 
-def _with_spans(spark, docs, window, id_column, text_column, columns):
-    """``docs`` as (row struct, id, text, spans)."""
-    spans = repeated_spans(spark, docs, window, id_column, text_column)
+def _split(spark, docs, window, id_column, text_column, columns):
+    """(rows with spans, rows surely without), each as ``columns``; only rows that may have spans are shuffled."""
+    from bspgraph.llm.bloom import bloom, with_maybe
+    from bspgraph.llm.shared import Scratch
+
+    spans = Scratch(spark, "substring").save(repeated_spans(spark, docs, window, id_column, text_column), "spans")
     left = docs.select(*columns, F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(text_column).alias("k_text"))
-    return left.join(spans, ["k_id", "k_text"], "left").drop("k_id", "k_text")
+    marked = with_maybe(left, bloom(spans, F.xxhash64("k_id", "k_text")), F.xxhash64("k_id", "k_text"))
+    joined = marked.where("_maybe").join(spans, ["k_id", "k_text"], "left").drop("k_id", "k_text", "_maybe")
+    return joined, marked.where("NOT _maybe").drop("k_id", "k_text", "_maybe").withColumn("spans", F.lit(None).cast("array<int>"))
 
 
 def kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -238,7 +242,7 @@ def cut_spans(text: str, spans) -> str:
 
 def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document."""
-    joined = _with_spans(spark, docs, window, id_column, text_column, [F.col(id_column).alias("id"), F.col(text_column).alias("text")])
+    cut, whole = _split(spark, docs, window, id_column, text_column, [F.col(id_column).alias("id"), F.col(text_column).alias("text")])
 
     def digest(batches):
         for batch in chunks(batches, 1):
@@ -251,19 +255,20 @@ def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return joined.mapInArrow(digest, schema).withColumnRenamed("id", id_column)
+    return cut.mapInArrow(digest, schema).unionByName(whole.mapInArrow(digest, schema)).withColumnRenamed("id", id_column)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts; rows, columns and their order stay."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    joined = _with_spans(spark, docs, window, id_column, text_column, [row])
+    cut, whole = _split(spark, docs, window, id_column, text_column, [row])
 
     @F.pandas_udf(T.StringType())
-    def cut(text, spans):
+    def removed(text, spans):
         import pandas as pd
 
         return pd.Series([None if x is None else cut_spans(x, None if s is None else list(s)) for x, s in zip(text, spans, strict=True)], dtype=object)
 
-    text = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(cut(F.col("row")[text_column], F.col("spans")))
-    return joined.select(*[(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(removed(F.col("row")[text_column], F.col("spans")))
+    changed = cut.select(*[(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns])
+    return changed.unionByName(whole.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
