@@ -55,65 +55,70 @@ class PositionalIndex:
         self.docs = docs.select(F.col(id_column).alias("doc"), F.col(text_column).alias("text"))
         self.windows = self.scratch.save(test_windows(benchmark, item_column, item_text, size), "windows")
         phrases = self.windows.select("phrase", "terms").distinct()
-        terms = phrases.select("phrase", F.posexplode("terms").alias("off", "term"))
+        # Phrases go by number from here on; the stored table fixes the numbers.
+        self.phrases = self.scratch.save(phrases.withColumn("pid", F.monotonically_increasing_id()), "phrases")
+        terms = self.phrases.select("pid", F.posexplode("terms").alias("off", "term"))
         vocabulary = self.scratch.save(terms.select("term").distinct(), "vocabulary")
         n = vocabulary.count()
         words = self.docs.select(F.explode(word_array(F.col("text"))).alias("term"))
         counts = self.scratch.save(words.join(small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
         # A window with a term that the corpus lacks can't occur.
-        ranked = terms.join(small(counts, n), "term", "left").groupBy("phrase").agg(
+        ranked = terms.join(small(counts, n), "term", "left").groupBy("pid").agg(
             F.slice(F.array_sort(F.collect_list(F.struct("n", "off", "term"))), 1, rarest).alias("low"), F.count_if(F.col("n").isNull()).alias("absent")
         )
-        lookups = ranked.where("absent = 0").select("phrase", F.size("low").alias("k"), F.inline("low")).select("phrase", "k", "off", "term")
+        listed = F.transform("low", lambda x, k: F.struct(x["off"].alias("off"), x["term"].alias("term"), F.call_function("shiftleft", F.lit(1), k).alias("bit")))
+        lookups = ranked.where("absent = 0").select("pid", F.size("low").alias("k"), F.inline(listed))
         self.lookups = self.scratch.save(lookups, "lookups")
         self.n_lookups = self.lookups.count()
         chosen = self.lookups.select("term").distinct()
-        postings = self.docs.select(F.xxhash64("text").alias("key"), "doc", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
+        postings = self.docs.select(F.hash("text").alias("key"), "doc", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
         self.postings = self.scratch.save(postings.join(small(chosen, self.n_lookups), "term", "left_semi").select("term", "doc", "key", "pos"), "postings")
 
     def phrase_candidates(self) -> DataFrame:
-        """(doc, key, phrase, start): starts that the shifted lists of all look-up terms of a phrase agree on."""
-        shifted = self.postings.join(small(self.lookups, self.n_lookups), "term").select("doc", "key", "phrase", "k", (F.col("pos") - F.col("off")).alias("start"), "off").where("start >= 0")
-        agreed = shifted.groupBy("doc", "key", "start", "phrase").agg(F.count_distinct("off").alias("lists"), F.first("k").alias("k"))
-        return agreed.where("lists = k").select("doc", "key", "phrase", "start")
+        """(doc, key, pid, start): starts that the shifted lists of all look-up terms of a phrase agree on."""
+        shifted = self.postings.join(small(self.lookups, self.n_lookups), "term").select("doc", "key", "pid", "k", (F.col("pos") - F.col("off")).alias("start"), "bit").where("start >= 0")
+        agreed = shifted.groupBy("doc", "key", "start", "pid").agg(F.bit_or("bit").alias("lists"), F.max("k").alias("k"))
+        return agreed.where(F.bit_count("lists") == F.col("k")).select("doc", "key", "pid", "start")
 
     def proximity_matches(self, slop: int) -> DataFrame:
         """(doc, item, first, last): all look-up terms of a window within ``slop`` words of one another, in any order.
 
         Positions meet in cells of ``slop`` words, each posting in its own cell and the one before, so no pair of one list is formed.
         """
-        cells = self.postings.join(small(self.lookups, self.n_lookups), "term").select("doc", "key", "phrase", "k", "term", "pos", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)).alias("cell"))
-        needed = self.lookups.groupBy("phrase").agg(F.count_distinct("term").alias("terms"))
-        near = cells.groupBy("doc", "key", "phrase", "cell").agg(F.count_distinct("term").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-        near = near.join(needed, "phrase").where((F.col("found") == F.col("terms")) & (F.col("last") - F.col("first") <= slop))
-        return near.join(self.windows.select("phrase", "item"), "phrase").select("doc", "item", "first", "last").distinct()
+        cells = self.postings.join(small(self.lookups, self.n_lookups), "term").select("doc", "key", "pid", "k", "term", "pos", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)).alias("cell"))
+        needed = self.lookups.groupBy("pid").agg(F.count_distinct("term").alias("terms"))
+        near = cells.groupBy("doc", "key", "pid", "cell").agg(F.count_distinct("term").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+        near = near.join(needed, "pid").where((F.col("found") == F.col("terms")) & (F.col("last") - F.col("first") <= slop))
+        return near.join(self.phrases.select("pid", "phrase"), "pid").join(self.windows.select("phrase", "item"), "phrase").select("doc", "item", "first", "last").distinct()
 
 
 def contamination(
-    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: int = 3, id_column: str = "doc_id",
+    spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: int = 2, id_column: str = "doc_id",
     text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every document."""
     index = PositionalIndex(spark, docs, benchmark, size, rarest, id_column, text_column, item_column, item_text)
-    found = index.phrase_candidates().groupBy("doc", "key", "phrase").agg(F.collect_set("start").alias("starts"))
+    found = index.phrase_candidates().groupBy("doc", "key", "pid").agg(F.collect_list("start").alias("starts"))
     found = index.scratch.save(found, "candidates")
     ids = index.scratch.save(found.select("doc", "key").distinct(), "ids")
     rows = ids.count()
-    keyed = index.docs.select("doc", F.xxhash64("text").alias("key"), "text")
+    keyed = index.docs.select("doc", F.hash("text").alias("key"), "text")
     on = keyed["doc"].eqNullSafe(ids["doc"]) & (keyed["key"] == ids["key"])
     texts = keyed.join(small(ids, rows), on, "left_semi").dropDuplicates(["doc", "key"]).select("doc", "key", word_array(F.col("text")).alias("w"))
+    n_phrases = index.phrases.count()
+    found = found.join(small(index.phrases.select("pid", "phrase"), n_phrases), "pid")
     c, t = found.alias("c"), texts.alias("t")
     at = c.join(t, F.col("c.doc").eqNullSafe(F.col("t.doc")) & (F.col("c.key") == F.col("t.key")))
     n = F.size(F.split("c.phrase", " "))
     true = F.filter("c.starts", lambda s: F.concat_ws(" ", F.slice(F.col("t.w"), s + 1, n)) == F.col("c.phrase"))
-    hits = index.scratch.save(at.select("c.doc", "c.key", "c.phrase", n.alias("n"), true.alias("starts")).where(F.size("starts") > 0), "hits")
+    hits = index.scratch.save(at.select("c.doc", "c.key", "c.pid", "c.phrase", n.alias("n"), true.alias("starts")).where(F.size("starts") > 0), "hits")
     spans = hits.groupBy("doc", "key").agg(F.array_sort(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("a"), (s + F.col("n")).alias("b")))))).alias("spans"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("hit"))
     union = F.aggregate("spans", zero, lambda acc, x: F.struct(F.greatest(acc["end"], x["b"]).alias("end"), (acc["hit"] + F.greatest(x["b"] - F.greatest(acc["end"], x["a"]), F.lit(0))).alias("hit")))
-    n_phrases = index.windows.count()
-    items = hits.select("doc", "key", "phrase").join(small(index.windows.select("phrase", "item"), n_phrases), "phrase").groupBy("doc", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    n_windows = index.windows.count()
+    items = hits.select("doc", "key", "phrase").join(small(index.windows.select("phrase", "item"), n_windows), "phrase").groupBy("doc", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     marks = spans.select("doc", "key", union["hit"].cast("long").alias("n_hit")).join(items.withColumnsRenamed({"doc": "d2", "key": "k2"}), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("k2"))).select("doc", "key", "n_hit", "items")
-    sizes = index.docs.select("doc", F.xxhash64("text").alias("key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    sizes = index.docs.select("doc", F.hash("text").alias("key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
     a, m = sizes.alias("a"), marks.alias("m")
     out = a.join(m, F.col("a.doc").eqNullSafe(F.col("m.doc")) & (F.col("a.key") == F.col("m.key")), "left")
     hit, names = F.coalesce("m.n_hit", F.lit(0).cast("long")), F.coalesce("m.items", F.array().cast("array<string>"))
