@@ -8,11 +8,11 @@ the target recall: a pair of similarity s is missed with probability ``(1 - s) *
 
 Large nodes, mostly families of near copies, never meet in one task:
 - documents with equal sets are one row from the start;
-- a large node is first cut into blocks of ``node_size`` that share one pivot, which links a family in linear work;
+- a large node branches on, ``levels`` deep, and at every level it is also cut into blocks of ``node_size`` that share one pivot,
+  which links a family in linear work however slowly its nodes shrink;
 - nodes that lie in one component by then are done, as no further link can change a component;
-- in a node still mixed, the few documents outside its largest component are compared with all blocks (exact, linear);
-- nodes with many outsiders branch on.
-After ``most_levels`` the block comparison is used whatever the number of outsiders, so no pair of a shared node is lost.
+- in a node that is large at the last level and still mixed, the documents outside its largest component are compared with all of
+  its blocks, so no pair of such a node is lost.
 
 Before sets travel, the documents of a block are compared on sketches of one byte a minwise token. Those whose sketches agree as a
 pair at the threshold would (less five standard errors) form candidate groups; groups that several trees find are compared once.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bspgraph.llm.bloom import bloom, with_maybe
 from bspgraph.llm.components import connected_components
 from bspgraph.llm.shared import Scratch
 from bspgraph.llm.textops import Words, chunks, mix
@@ -42,7 +44,6 @@ TOKENS = 64
 _rng = np.random.default_rng(20_24)
 _MULT = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
-BLOOM_BITS = 1 << 25
 BROADCAST_ROWS = 500_000
 
 
@@ -85,6 +86,16 @@ def digest(values: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64), b.sum(dtype=np.uint64) + np.uint64(len(values))], np.uint64).tobytes()
 
 
+def branches(root: np.ndarray, tokens: np.ndarray, similarity: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and the nodes, level by level, of every branch that the rows take down one tree."""
+    row, path = branch(np.repeat(root, len(tokens)), tokens, similarity)
+    nodes = path[:, None]
+    for _ in range(levels - 1):
+        step, path = branch(path, tokens[row], similarity)
+        row, nodes = row[step], np.concatenate([nodes[step], path[:, None]], 1)
+    return row, nodes
+
+
 def branch(path: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Children of (path, minwise tokens) rows: row numbers and new paths."""
     rows = np.arange(len(path))
@@ -95,7 +106,7 @@ def branch(path: np.ndarray, tokens: np.ndarray, similarity: float) -> tuple[np.
     return row, mix(path[row] ^ mix(tokens[row, index].astype(np.uint64) + index.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _sketches(size: int, trees: int, similarity: float):
+def _sketches(size: int, trees: int, similarity: float, levels: int):
     # The trees' first tokens are distinct ones, so that the trees are independent.
     roots = []
     for tree in range(10_000):
@@ -107,17 +118,17 @@ def _sketches(size: int, trees: int, similarity: float):
         for batch in chunks(batches, 1):
             sets = shingle_sets(batch.column(1).fill_null(""), size)
             tokens = np.stack([minwise(x) for x in sets])
-            paths: list[list[int]] = [[] for _ in sets]
-            for root in roots:
-                row, path = branch(np.repeat(root, len(sets)), tokens, similarity)
-                for r, p in zip(row.tolist(), path.view(np.int64).tolist(), strict=True):
-                    paths[r].append(p)
+            paths: list[list[list[int]]] = [[] for _ in sets]
+            for tree, root in enumerate(roots):
+                row, nodes = branches(root, tokens, similarity, levels)
+                for r, p in zip(row.tolist(), nodes.view(np.int64).tolist(), strict=True):
+                    paths[r].append([tree, *p])
             n = [len(x) for x in sets]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array([digest(x) for x in sets], pa.binary()),
-                pa.array([x if k else [] for x, k in zip(paths, n, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in tokens], pa.binary()),
+                pa.array([x if k else [] for x, k in zip(paths, n, strict=True)], pa.list_(pa.list_(pa.int64()))),
                 pa.array([x.astype(np.uint8).tobytes() for x in tokens], pa.binary()),
-            ], ["id", "key", "n_shingles", "digest", "paths", "tokens", "sketch"])
+            ], ["id", "key", "n_shingles", "digest", "paths", "sketch"])
 
     return rows
 
@@ -126,18 +137,6 @@ def _first(root: np.ndarray) -> int:
     return int(mix(root + np.uint64(1))[0] % np.uint64(TOKENS))
 
 
-def _next_level(similarity: float):
-    def rows(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TOKENS)
-            row, path = branch(batch.column(0).to_numpy().view(np.uint64), tokens, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), batch.column(1).take(pa.array(row))], ["path", "digest"])
-
-    return rows
-
-
 def links_of_block(names: list[bytes], sets: list[np.ndarray], roots: list[bytes], outside: list[bool], percent: int) -> list[tuple[bytes, bytes]]:
     """Links of one block that join different components; in a two-sided block only pairs with an outsider are compared."""
     n = len(names)
@@ -271,13 +270,13 @@ def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 class _Join:
     """State of one run: documents, classes, links and components so far."""
 
-    def __init__(self, spark, docs, id_column, text_column, size, percent, trees, node_size, most_levels):
-        self.spark, self.size, self.percent, self.node_size, self.most_levels = spark, size, percent, node_size, most_levels
+    def __init__(self, spark, docs, id_column, text_column, size, percent, trees, node_size, levels):
+        self.spark, self.size, self.percent, self.node_size, self.levels = spark, size, percent, node_size, levels
         self.similarity = percent / 100
         self.scratch = Scratch(spark, "neardup")
         self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
-        sketch = "id long, key long, n_shingles long, digest binary, paths array<long>, tokens binary, sketch binary"
-        self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity), sketch), "sketches")
+        sketch = "id long, key long, n_shingles long, digest binary, paths array<array<long>>, sketch binary"
+        self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity, levels), sketch), "sketches")
         self.classes = self.scratch.save(
             self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "classes"
         )
@@ -285,38 +284,33 @@ class _Join:
         self.roots: DataFrame | None = None
 
     def rooted(self, members: DataFrame) -> DataFrame:
-        """``members`` (path, digest) with the root of each."""
+        """``members`` (.., digest) with the root of each."""
         if self.roots is None:
             return members.withColumn("root", F.col("digest"))
         return members.join(self.roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
-    def mixed(self, members: DataFrame) -> DataFrame:
-        """Members of nodes that hold several components, with the node's size, as (path, digest, root, n, pivot)."""
-        rooted = self.rooted(members)
-        nodes = rooted.groupBy("path").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("digest").alias("pivot")).where("r0 != r1")
-        return rooted.join(nodes.drop("r0", "r1"), "path")
+    def mixed(self, members: DataFrame, path: str) -> DataFrame:
+        """Members (with root) of nodes that hold several components, with the node's size ``n`` and its ``pivot``."""
+        nodes = members.groupBy(path).agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("digest").alias("pivot")).where("r0 != r1")
+        return members.join(nodes.drop("r0", "r1"), path)
+
+    def parts(self):
+        """Number of blocks of a node, and a member's block."""
+        n = F.ceil(F.col("n") / self.node_size)
+        return n, F.pmod(F.xxhash64("digest"), n)
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(digest, set) of the wanted classes, rebuilt from the texts of their representatives."""
         reps = wanted.join(self.classes.select("digest", "rep"), "digest").select("rep")
-        bits = reps.select((F.pmod(F.xxhash64("rep"), F.lit(BLOOM_BITS)) + 1).alias("p")).select(F.bitmap_bucket_number("p").alias("k"), F.bitmap_bit_position("p").alias("p"))
-        table = np.zeros(BLOOM_BITS // 8, np.uint8)
-        for row in bits.groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).toLocalIterator():
-            at = (row.k - 1) * 4096
-            table[at : at + 4096] = np.frombuffer(bytes(row.m), np.uint8)[: len(table) - at]
-        filter_, size = self.spark.sparkContext.broadcast(table.tobytes()), self.size
+        marked = with_maybe(self.source.select("id", "text"), bloom(reps, F.xxhash64("rep")), F.xxhash64("id")).where("_maybe").select("text")
+        size = self.size
 
         def rows(batches):
-            bitmap = np.frombuffer(filter_.value, np.uint8)
-            for batch in batches:
-                p = batch.column(0).to_numpy()
-                hit = bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1
-                for part in chunks([batch.filter(pa.array(hit.astype(bool)))], 1):
-                    sets = shingle_sets(part.column(1).fill_null(""), size)
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([pack_set(x) for x in sets], pa.binary())], ["digest", "set"])
+            for batch in chunks(batches, 0):
+                sets = shingle_sets(batch.column(0).fill_null(""), size)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([pack_set(x) for x in sets], pa.binary())], ["digest", "set"])
 
-        where = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)).alias("p")
-        return self.source.select(where, "text").mapInArrow(rows, "digest binary, set binary")
+        return marked.mapInArrow(rows, "digest binary, set binary")
 
     def compare(self, blocks: DataFrame) -> None:
         """Compare (block, digest, root, outside) rows and fold the links found into the components."""
@@ -343,56 +337,54 @@ class _Join:
         self.scratch.drop(found)
 
     def descend(self, members: DataFrame) -> None:
-        """Decide every node of ``members`` (path, digest)."""
-        most = self.node_size
-        for level in range(self.most_levels + 1):
-            now = self.scratch.save(self.mixed(members), "nodes")
-            if now.isEmpty():
-                return
-            part = F.pmod(F.xxhash64("digest"), F.greatest(F.ceil(F.col("n") / most), F.lit(1)))
-            small = now.where(F.col("n") <= most).select(F.struct("path", F.lit(0).cast("long").alias("part")).alias("block"), "digest", "root", F.lit(False).alias("outside"))
-            large = now.where(F.col("n") > most)
-            blocks = large.select(F.struct("path", part.alias("part")).alias("block"), "digest", "root", F.lit(False).alias("outside"))
-            pivots = large.where("digest = pivot").select(F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)).alias("part"), "path", "digest", "root")
-            pivots = pivots.select(F.struct("path", "part").alias("block"), "digest", "root", F.lit(False).alias("outside"))
-            self.compare(small.unionByName(blocks).unionByName(pivots))
-            large = self.scratch.save(large.select("path", "digest"), "large")
-            self.scratch.drop(now)
-            if large.isEmpty():
-                return
-            left = self.scratch.save(self.mixed(large), "mixed")
-            self.scratch.drop(large)
+        """Decide every node of ``members`` (paths, digest), paths being the nodes of one branch from the first level on."""
+        alone = members.groupBy(members["paths"][0].alias("first")).agg(F.count("*").alias("c")).where("c > 1")
+        shared = members.join(alone, members["paths"][0] == alone["first"]).select("paths", "digest")
+        left = self.scratch.save(self.rooted(shared), "members")
+        blocks, number, part = [], *self.parts()
+        flat = lambda df, block: df.select(block.alias("block"), "digest", "root", F.lit(False).alias("outside"))
+        for level in range(self.levels):
+            now = self.mixed(left.withColumn("path", F.col("paths")[level]), "path")
+            now = self.scratch.save(now, "nodes")
+            self.scratch.drop(left)
+            blocks.append(flat(now.where(F.col("n") <= self.node_size), F.struct("path", F.lit(0).cast("long").alias("part"))))
+            left = now.where(F.col("n") > self.node_size)
             if left.isEmpty():
-                return
-            largest = left.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-            left = left.join(largest, "path").withColumn("outsiders", F.col("all") - F.col("most"))
-            last = level == self.most_levels
-            done = left if last else left.where(F.col("outsiders") <= 4 * most)
-            side = done.where("root != main")
-            side_part = F.pmod(F.xxhash64("digest", F.lit(1)), F.ceil(F.col("outsiders") / most))
-            # every block of outsiders meets every block of the node
-            outer = side.select("path", "digest", "root", "n", side_part.alias("o")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / most) - 1)))
-            inner = done.select("path", "digest", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("outsiders") / most) - 1)).alias("o"))
-            cols = [F.struct("path", "o", "part").alias("block"), "digest", "root"]
-            self.compare(outer.select(*cols, F.lit(True).alias("outside")).unionByName(inner.select(*cols, F.lit(False).alias("outside"))))
-            if last:
-                return
-            rest = left.where(F.col("outsiders") > 4 * most).select("path", "digest")
-            tokens = self.sketches.select("digest", "tokens").dropDuplicates(["digest"])
-            members = self.scratch.save(rest.join(tokens, "digest").select("path", "digest", "tokens").mapInArrow(_next_level(self.similarity), "path long, digest binary"), "members")
+                left = None
+                break
+            # A family of near copies is linked through its pivot here, however slowly its nodes shrink.
+            blocks.append(flat(left, F.struct("path", part.alias("part"))))
+            pivots = left.where("digest = pivot").select("path", "digest", "root", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part"))
+            blocks.append(flat(pivots, F.struct("path", "part")))
+            left = left.select("paths", "path", "digest", "root")
+        self.compare(reduce(DataFrame.unionByName, blocks))
+        if left is None:
+            return
+        # Nodes that are large at the last level and still hold several components: the documents outside a node's largest
+        # component meet every block of the node.
+        left = self.scratch.save(self.mixed(self.rooted(left.select("path", "digest").distinct()), "path"), "mixed")
+        if left.isEmpty():
+            return
+        largest = left.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outsiders"))
+        left = left.join(largest, "path")
+        rows = F.ceil(F.col("outsiders") / self.node_size)
+        outer = left.where("root != main").select("path", "digest", "root", F.pmod(F.xxhash64("digest", F.lit(1)), rows).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part"))
+        inner = left.select("path", "digest", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("o"))
+        block = F.struct("path", "o", "part").alias("block")
+        self.compare(outer.select(block, "digest", "root", F.lit(True).alias("outside")).unionByName(inner.select(block, "digest", "root", F.lit(False).alias("outside"))))
 
 
 def near_duplicates(
     spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80,
-    recall: float = 0.99999, node_size: int = 48, most_levels: int = 8,
+    recall: float = 0.99999, node_size: int = 48, levels: int = 3,
 ) -> DataFrame:
     """(id, key, n_shingles, component_id, kept) of every row, key being the text's xxhash64; documents are linked at 100 * common >= percent * united shingles."""
     trees = max(2, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
-    run = _Join(spark, docs, id_column, text_column, shingle, percent, trees, node_size, most_levels)
+    run = _Join(spark, docs, id_column, text_column, shingle, percent, trees, node_size, levels)
     # The first tree alone: it finds most links, and what it decides need not travel again for the others.
-    first = run.classes.select(F.col("paths")[0].alias("path"), "digest")
-    run.descend(first)
-    run.descend(run.classes.select(F.explode(F.expr("slice(paths, 2, size(paths))")).alias("path"), "digest"))
+    branches = run.classes.select(F.explode("paths").alias("p"), "digest").select(F.col("p")[0].alias("tree"), F.expr("slice(p, 2, size(p))").alias("paths"), "digest")
+    run.descend(branches.where("tree = 0").select("paths", "digest"))
+    run.descend(branches.where("tree > 0").select("paths", "digest"))
     lowest = run.classes.select("digest", "rep")
     if run.roots is not None:
         joined = lowest.join(run.roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
