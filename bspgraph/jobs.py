@@ -13,7 +13,7 @@ import threading
 import time
 import uuid
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -177,8 +177,8 @@ class JobService:
             if not can_cancel(job.status):
                 raise RequestError("INVALID_JOB", f"it is {status_name(job.status)}")
             self.cancelled.add(id)
+            self._save(replace(job, status=int(JobStatus.CANCELLED)))
             job.status = int(JobStatus.CANCELLED)
-        self._save(job)
         self.spark.interruptTag(f"bsp-{id}")
 
     def wait(self, id: str, seconds: float = 600) -> Job:
@@ -205,10 +205,10 @@ class JobService:
         with self.lock:
             if job.id in self.cancelled:
                 return False
-            job.status = int(status)
+            changes = {"status": int(status), **changes}
+            self._save(replace(job, **changes))  # seen only once it is stored
             for k, v in changes.items():
                 setattr(job, k, v)
-        self._save(job)
         return True
 
     def _work(self) -> None:
