@@ -367,7 +367,10 @@ class _Join:
             return
         largest = left.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outsiders"))
         left = left.join(largest, "path")
-        rows = F.ceil(F.col("outsiders") / self.node_size)
+        # Blocks of many documents here: a document is repeated once for each block of the other side.
+        wide = self.node_size * 10
+        rows, number = F.ceil(F.col("outsiders") / wide), F.ceil(F.col("n") / wide)
+        part = F.pmod(F.xxhash64("digest"), number)
         outer = left.where("root != main").select("path", "digest", "root", F.pmod(F.xxhash64("digest", F.lit(1)), rows).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part"))
         inner = left.select("path", "digest", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("o"))
         block = F.struct("path", "o", "part").alias("block")
