@@ -75,13 +75,14 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
 def chunk_entries(batch: pa.RecordBatch, window: int):
     """Of one chunk (id, text hash, text): its name and document table, its first windows as (hash, extra, word), its repeats."""
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    ids, texts = ids[order], batch.column(2).take(pa.array(order))
-    key = batch.column(1).to_numpy(zero_copy_only=False)[order]
+    key = batch.column(1).to_numpy(zero_copy_only=False)
+    order = np.lexsort((key, ids))
+    ids, key, texts = ids[order], key[order], batch.column(2).take(pa.array(order))
     words = Words(texts)
     word_hash = words.hashes()
     h, at = words.windows(word_hash, window)
-    name = int(np.bitwise_xor.reduce(mix(mix(ids.view(np.uint64)) + key.view(np.uint64)))) & (2**63 - 1)
+    # Chunks of equal rows get equal names; a sum, so that repeated rows count.
+    name = int(mix(mix(ids.view(np.uint64)) + key.view(np.uint64)).sum(dtype=np.uint64)) & (2**63 - 1)
     table = (ids, words.first[:-1], key)
     if not len(h):
         return name, table, None, np.zeros(0, np.int64)
@@ -182,7 +183,7 @@ def _spans(window: int):
         new = np.ones(len(at), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + window)
         heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(at)) - 1
+        tails = np.append(heads[1:], len(at))[: len(heads)] - 1
         owner = doc[heads]
         flat = np.stack([at[heads] - first[owner], at[tails] - first[owner] + window], 1).reshape(-1).astype(np.int32)
         cut = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -272,3 +273,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
     text = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(removed(F.col("row")[text_column], F.col("spans")))
     changed = cut.select(*[(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns])
     return changed.unionByName(whole.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+
+
+#: The query op6 in DuckDB SQL.
+ORACLE = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM t),
+late AS (SELECT doc_id, s FROM (SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS g FROM win) QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM t),
+kept AS (SELECT words.doc_id, string_agg(x, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p GROUP BY 1)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON t.doc_id = kept.doc_id
+"""
