@@ -126,3 +126,20 @@ def contamination(
         F.col("a.doc").alias(id_column), "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
         ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), names.alias("items"),
     )
+
+
+#: The query op7 in DuckDB SQL.
+ORACLE = r"""
+WITH t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0),
+phrases AS (SELECT DISTINCT item, len(w[s : s + 12]) AS k, array_to_string(w[s : s + 12], ' ') AS g FROM bw),
+sizes AS (SELECT DISTINCT k FROM phrases),
+dw AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM t, sizes),
+found AS (SELECT doc_id, item, s, dw.k FROM dw JOIN phrases ON dw.k = phrases.k AND array_to_string(w[s : s + dw.k - 1], ' ') = g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM found) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM t LEFT JOIN hit ON t.doc_id = hit.doc_id LEFT JOIN items ON t.doc_id = items.doc_id
+"""

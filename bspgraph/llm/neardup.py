@@ -413,3 +413,19 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str
     if found.where("kept").groupBy("i", "key").count().where("count > 1").isEmpty():
         return left
     return left.dropDuplicates([id_column, text_column])
+
+
+#: The query op4 in DuckDB SQL.
+ORACLE = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+cut AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM t WHERE len(w) > 0),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[s : s + 2], ' ') AS g FROM cut),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS far FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.far = edges.a),
+low AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY 1)
+SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(low.component_id, t.doc_id) AS component_id, coalesce(low.component_id, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN low ON t.doc_id = low.doc_id
+"""

@@ -100,6 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from bspgraph.llm.preference import ORACLE
+    from bspgraph.llm import decontaminate, neardup, preference, substring
 
-    return {"op3_preference_formatting": ORACLE}
+    return {
+        "op3_preference_formatting": preference.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE, "op6_substring_dedup": substring.ORACLE,
+        "op7_benchmark_decontamination": decontaminate.ORACLE,
+    }
