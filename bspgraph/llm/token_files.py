@@ -5,9 +5,10 @@ skippable frame with the document ids; then the seek table, a skippable frame of
 document and a footer (number of frames, descriptor, magic). Checksums are the low 32 bits of XXH64 of the content. A reader
 fetches the seek table from the end of the file and then only the frames it wants.
 
-Frames are made where the texts are read, so only compressed ids are shuffled: a range partitioning by document id puts them in
-order, each partition becomes one file under a temporary name and is renamed, and file names sort as the ids do. ``start`` of a
-document is the sum of all ids before it: an offset per file (as many numbers as files) plus a running sum within the file.
+A range partitioning by (document id, hash of the text) puts the texts in order before they are encoded, so finding its bounds
+samples the scan and not the encoder, and rows that share an id still part. Each partition is encoded straight into one file under
+a temporary name, which is then renamed; the stored list of files keeps their order. ``start`` of a document is the sum of all ids
+before it: an offset per file (as many numbers as files) plus a running sum within the file.
 
 Cases: a null or empty text has the end id alone; a null document id sorts first; repeated rows follow each other; an empty table
 writes no file; other columns are ignored.
@@ -17,20 +18,20 @@ from __future__ import annotations
 
 import functools
 import itertools
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bspgraph.llm.pretokens import ODD, WORD_PATTERN, library, special_tokens
+from bspgraph.llm.pretokens import ODD, library, special_tokens
 from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
 from bspgraph.llm.textops import chunks
 
@@ -38,6 +39,12 @@ SKIPPABLE, IDS_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 NO_ID = -(2**63)
 
 
+#: Letters and numbers of the plain range, lower-cased.
+LETTER, NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The tokenizer's own pattern for texts of the plain range.
+PLAIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+
+
 class WordEncoder:
     """Ids of texts as bytes; words seen lately are kept, all others are encoded by the tokenizers library."""
 
@@ -45,28 +52,38 @@ class WordEncoder:
         self.path, self.most, self.marks = path, cache_size, list(special_tokens(path))
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self._find = regex.compile(WORD_PATTERN).findall
+        vocabulary = library(path).get_vocab()
+        #: whether an id ends a word
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.most:
             self.old, self.words = self.words, {}
         words, old = self.words, self.old
-        pieces = [None if ODD.search(x) or any(m in x for m in self.marks) else self._find(x.lower()) for x in texts]
-        missing = []
-        for w in set(itertools.chain.from_iterable(p for p in pieces if p is not None)):
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    missing.append(w)
+        pieces = [None if ODD.search(x) or any(m in x for m in self.marks) else PLAIN_WORDS.findall(x.lower()) for x in texts]
+        new = set(itertools.chain.from_iterable(p for p in pieces if p is not None)).difference(words)
+        words.update((w, old[w]) for w in new if w in old)
+        self._learn([w for w in new if w not in words])
         whole = [x for x, p in zip(texts, pieces, strict=True) if p is None]
-        tokenizer = library(self.path)
-        for w, got in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            words[w] = np.array(got.ids, "<u4").tobytes()
-        rest = iter([np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in whole])
+        rest = iter([np.array(x.ids, "<u4").tobytes() for x in library(self.path).encode_batch_fast(whole, add_special_tokens=False)] if whole else [])
         get = words.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
 
+    def _learn(self, words: list[str], run: int = 200) -> None:
+        """Encode words that are pre-tokens, many in one text: they stay apart there, and the ids that end words tell them apart again."""
+        runs = [words[k : k + run] for k in range(0, len(words), run)]
+        tokenizer = library(self.path)
+        for own, got in zip(runs, tokenizer.encode_batch_fast([" ".join(x) for x in runs], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) == len(own):
+                data = ids.tobytes()
+                self.words.update(zip(own, [data[a:b] for a, b in itertools.pairwise([0, *ends])], strict=True))
+            else:  # a word whose last id ends none
+                for w in own:
+                    self.words[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
 
 @functools.lru_cache(2)
 def word_encoder(path: str) -> WordEncoder:
@@ -125,18 +142,13 @@ class TokenFile:
             k = to
 
 
-def encode_frames(docs: DataFrame, tokenizer: str, end_id: int, id_column: str, text_column: str, level: int = 1) -> DataFrame:
-    """(id, frame, content, checksum) of every text."""
-    def rows(batches):
-        compressor, encoder, end = zstandard.ZstdCompressor(level=level, write_checksum=True), word_encoder(tokenizer), struct.pack("<I", end_id)
-        for batch in chunks(batches, 1):
-            made = []
-            for ids in encoder.encode(batch.column(1).fill_null("").to_pylist()):
-                made.append((*frame_of(ids + end, compressor), len(ids) + 4))
-            frames, checks, sizes = zip(*made, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64()), pa.array(checks, pa.int64())], ["id", "frame", "content", "checksum"])
-
-    return docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text")).mapInArrow(rows, "id long, frame binary, content long, checksum long")
+def encoded_frames(batches, tokenizer: str, end_id: int, level: int = 1):
+    """(id, frame, content size, checksum) of every row (id, text) of the batches, as lists."""
+    compressor, encoder, end = zstandard.ZstdCompressor(level=level, write_checksum=True), word_encoder(tokenizer), struct.pack("<I", end_id)
+    for batch in chunks(batches, 1):
+        for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).fill_null("").to_pylist()), strict=True):
+            frame, check = frame_of(ids + end, compressor)
+            yield i, frame, len(ids) + 4, check
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -146,22 +158,21 @@ def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer
         filesystem, folder = open_filesystem(root)
         name = f"tokens-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.zst"
         out, ids, entries = None, [], []
-        for batch in batches:
-            for i, frame, content, check in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None:
-                    filesystem.create_dir(folder, recursive=True)
-                    out = filesystem.open_output_stream(f"{folder}/_{name}", compression=None)
-                out.write(frame)
-                ids.append(i)
-                entries.append((len(frame), content, check))
+        for i, frame, content, check in encoded_frames(batches, tokenizer, end_id):
+            if out is None:
+                filesystem.create_dir(folder, recursive=True)
+                out = filesystem.open_output_stream(f"{folder}/_{name}", compression=None)
+            out.write(frame)
+            ids.append(i)
+            entries.append((len(frame), content, check))
         if out is not None:
             out.write(file_tail(ids, entries))
             out.close()
             filesystem.move(f"{folder}/_{name}", f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([sum(e[1] for e in entries) // 4], pa.int64())], ["part", "file", "documents", "ids"])
 
-    frames = encode_frames(docs, tokenizer, end_id, id_column, text_column)
-    ordered = frames.repartitionByRange("id").sortWithinPartitions("id", "content", "checksum")
+    keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("h"))
+    ordered = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     return Scratch(spark, "token-files").save(ordered.mapInArrow(write, "part long, file string, documents long, ids long"), "files")
 
 
