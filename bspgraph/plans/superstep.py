@@ -7,7 +7,8 @@ visible one superstep later. The loop ends when every vertex has halted and no m
 
 Stored tables are ordinary Parquet in the shared folder: plans stay as short as one superstep, a lost executor costs only its own
 tasks, and a run can be resumed from any superstep it has recorded. Edges are dealt by source once and cached; a superstep
-joins them with the senders alone and never shuffles them again.
+joins them with the senders alone and never shuffles them again. A source of more than ``hot_degree`` edges is dealt in as many
+parts as that takes, and its vertex is repeated once for each part when it sends.
 """
 
 from __future__ import annotations
@@ -70,20 +71,52 @@ def _holds(when: Column | None) -> Column:
     return F.lit(True) if when is ALWAYS else F.coalesce(when, F.lit(False))
 
 
-def _messages(computed: DataFrame, edges: DataFrame, effects: Effects, kind: str) -> DataFrame | None:
+class DealtEdges:
+    """Cached edges, dealt by source; the few sources of more than ``hot_degree`` edges are dealt in parts."""
+
+    def __init__(self, edges: DataFrame, partitions: int, hot_degree: int):
+        self.table = edges.repartition(partitions, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        degrees = self.table.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
+        #: (hot, parts): at most number of edges / ``hot_degree`` rows
+        self.hot = degrees.select(F.col("src").alias("hot"), F.ceil(F.col("n") / hot_degree).alias("parts")).persist()
+        if self.hot.isEmpty():
+            self.hot.unpersist()
+            self.hot = None
+        else:
+            whole, part = self.table, F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
+            self.table = whole.join(F.broadcast(self.hot), F.col("src") == F.col("hot"), "left").select(*edges.columns, part.alias("_part")).repartition(partitions, "src", "_part").persist(StorageLevel.MEMORY_AND_DISK)
+            self.table.count()
+            whole.unpersist()
+        self.plain = self.table.select(*edges.columns)
+
+    def out_of(self, senders: DataFrame) -> DataFrame:
+        """``senders`` with ``dst``, ``weight`` and ``edge_mut`` of each out-edge."""
+        columns = [F.col("src").alias("id"), "dst", F.col("value").alias("weight"), F.col("mut").alias("edge_mut")]
+        if self.hot is None:
+            return senders.join(self.table.select(*columns), "id")
+        spread = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("_part")
+        spread = senders.join(F.broadcast(self.hot), F.col("id") == F.col("hot"), "left").select(*senders.columns, spread)
+        return spread.join(self.table.select(*columns, "_part"), ["id", "_part"]).drop("_part")
+
+    def unpersist(self) -> None:
+        self.table.unpersist()
+        if self.hot is not None:
+            self.hot.unpersist()
+
+
+def _messages(computed: DataFrame, edges: Callable[[], DealtEdges], effects: Effects, kind: str) -> DataFrame | None:
     """Uncombined (to, msg) of all sends."""
     out = []
     for k, send in enumerate(effects.sends):
         senders = computed.where(F.col("active") & F.col(f"send{k}"))
         if isinstance(send, SendAlong):
-            e = edges.select(F.col("src").alias("id"), "dst", F.col("value").alias("weight"), F.col("mut").alias("edge_mut"))
-            out.append(senders.join(e, "id").select(F.col("dst").alias("to"), send.message.cast(kind).alias("msg")))
+            out.append(edges().out_of(senders).select(F.col("dst").alias("to"), send.message.cast(kind).alias("msg")))
         else:
             out.append(senders.select(send.to.alias("to"), send.message.cast(kind).alias("msg")))
     return reduce(DataFrame.unionByName, out) if out else None
 
 
-def _operations(computed: DataFrame, edges: DataFrame, effects: Effects, graph: PropertyGraph):
+def _operations(computed: DataFrame, edges: Callable[[], DealtEdges], effects: Effects, graph: PropertyGraph):
     """Operation logs of this superstep, or None for a kind that the program doesn't use."""
     vkind, vmut = graph.vertices.schema["value"].dataType, graph.vertices.schema["mut"].dataType
     ekind, emut = graph.edges.schema["value"].dataType, graph.edges.schema["mut"].dataType
@@ -93,9 +126,7 @@ def _operations(computed: DataFrame, edges: DataFrame, effects: Effects, graph:
     for k, op in enumerate(effects.vertex_ops):
         vertex_ops.append(active.where(_holds(op.when)).select(op.id.alias("id"), F.lit(int(op.type)).alias("type"), null(op.value, vkind).alias("value"), null(op.mut, vmut).alias("mut"), F.col("id").alias("writer"), F.lit(k).cast("long").alias("seq")))
     for k, op in enumerate(effects.edge_ops):
-        rows = active
-        if op.along_edges:
-            rows = active.join(edges.select(F.col("src").alias("id"), "dst", F.col("value").alias("weight"), F.col("mut").alias("edge_mut")), "id")
+        rows = edges().out_of(active) if op.along_edges else active
         rows = rows.where(_holds(op.when))
         edge_ops.append(rows.select(op.src.alias("src"), op.dst.alias("dst"), F.lit(int(op.type)).alias("type"), null(op.value, ekind).alias("value"), null(op.mut, emut).alias("mut"), F.col("id").alias("writer"), F.lit(k).cast("long").alias("seq")))
     both = lambda rows: reduce(DataFrame.unionByName, rows) if rows else None
@@ -105,10 +136,10 @@ def _operations(computed: DataFrame, edges: DataFrame, effects: Effects, graph:
 class SuperstepLoop:
     def __init__(
         self, spark: SparkSession, graph: PropertyGraph, program: VertexProgram, max_supersteps: int = 500, strict: bool = True,
-        root: str | None = None, cancelled: Callable[[], bool] = lambda: False, on_stats: Callable[[Stats], None] = lambda s: None,
+        root: str | None = None, cancelled: Callable[[], bool] = lambda: False, on_stats: Callable[[Stats], None] = lambda s: None, hot_degree: int = 1_000_000,
     ):
         self.spark, self.program, self.max_supersteps, self.strict = spark, program, max_supersteps, strict
-        self.cancelled, self.on_stats = cancelled, on_stats
+        self.cancelled, self.on_stats, self.hot_degree = cancelled, on_stats, hot_degree
         self.work = Workspace(spark, program.name.lower(), root)
         self.graph, self.superstep, self.aggregators = graph, 0, AggregatorSet()
         self.stats: list[Stats] = []
@@ -117,7 +148,7 @@ class SuperstepLoop:
         self._paths: dict[str, str | None] = {"state": None, "messages": None, "edges": None}
         self._pending = 0
         self._garbage: list[str | None] = []
-        self._cached: DataFrame | None = None
+        self._cached: DealtEdges | None = None
 
     # -- recording -------------------------------------------------------------------------------------------------------------
     def _record(self) -> None:
@@ -144,10 +175,10 @@ class SuperstepLoop:
         return True
 
     # -- one superstep ---------------------------------------------------------------------------------------------------------
-    def _edges(self) -> DataFrame:
+    def _edges(self) -> DealtEdges:
         if self._cached is None:
             n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            self._cached = self.graph.edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+            self._cached = DealtEdges(self.graph.edges, n, self.hot_degree)
         return self._cached
 
     def _delivered(self) -> DataFrame:
@@ -196,7 +227,7 @@ class SuperstepLoop:
         stats = Stats(self.superstep, got["computed"] or 0, 0, got["halted"] or 0, got["inactive"] or 0, computing)
         awake = got["awake"] or 0
         messages, message_path = None, None
-        sent = _messages(stored, self._edges(), effects, program.message_type) if effects.sends else None
+        sent = _messages(stored, self._edges, effects, program.message_type) if effects.sends else None
         if sent is not None:
             counted = Observation()
             messages, message_path = self.work.save(combine(sent, program.combiner).observe(counted, F.count("*").alias("n")), "messages")
@@ -208,8 +239,8 @@ class SuperstepLoop:
         edges_path = self._paths["edges"]
         state_path = path
         if effects.vertex_ops or effects.edge_ops:
-            vertex_ops, edge_ops = _operations(stored, self._edges(), effects, self.graph)
-            before = PropertyGraph(state.select("id", "value", "mut"), self._edges())
+            vertex_ops, edge_ops = _operations(stored, self._edges, effects, self.graph)
+            before = PropertyGraph(state.select("id", "value", "mut"), self._edges().plain)
             after = apply_mutations(before, vertex_ops, edge_ops, program.handlers)
             # Vertices that the mutations made are awake; the others keep their vote.
             state = after.vertices.join(state.select("id", "halted"), "id", "left").withColumn("halted", F.coalesce("halted", F.lit(False)))

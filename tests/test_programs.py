@@ -37,6 +37,23 @@ def test_shortest_path_cases(spark, name):
         assert run.display == f"path length from '{a}' to '{b}'={d}"
 
 
+def test_hot_sources_are_dealt_in_parts(spark):
+    """A hub of many edges sends to every target once, however its edges are dealt."""
+    edges = [("hub", f"v{k}", k) for k in range(40)] + [(f"v{k}", "hub", 1) for k in range(0, 40, 3)] + [("v1", "end", 2)]
+    plain = shortest(spark, graph(spark, edges), "v0", "end")
+    for degree in (1, 7, 39):
+        run = shortest(spark, graph(spark, edges), "v0", "end", hot_degree=degree)
+        assert run.result == plain.result == {"pathLength": 4}
+        assert [(s.computed, s.sent) for s in run.supersteps] == [(s.computed, s.sent) for s in plain.supersteps]
+        assert sorted(run.vertices.select("id", "mut").collect()) == sorted(plain.vertices.select("id", "mut").collect())
+
+    def compute(c: Context) -> Effects:
+        return Effects(halt=F.lit(True), edge_ops=(EdgeOp(OpType.VALUE_CHANGED, c.id, c.dst, mut=c.weight * 2, along_edges=True),))
+
+    loop = SuperstepLoop(spark, graph(spark, edges), VertexProgram("Double", compute, lambda a: None, lambda r, p: ""), hot_degree=7)
+    assert sorted((r.src, r.dst, r.mut) for r in loop.run().edges.collect()) == sorted((a, b, 2 * w) for a, b, w in edges)
+
+
 def test_message_to_missing_vertex_fails(spark):
     g = graph(spark, [("a", "z", 1)], ["a"])
     with pytest.raises(Exception, match="missing vertex z"):
