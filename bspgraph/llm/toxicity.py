@@ -64,7 +64,7 @@ def term_features(term: str) -> np.ndarray:
 
 def _statistics(batches):
     """Per chunk of (text, label): documents of each class that have a feature."""
-    for batch in chunks(batches, 0):
+    for batch in chunks(batches, 0, 2 << 20):
         row, feature = text_features(batch.column(0).fill_null(""))
         label = batch.column(1).to_numpy(zero_copy_only=False)
         pairs = np.unique(np.stack([feature, row.astype(np.uint64)], 1), axis=0) if len(row) else np.zeros((0, 2), np.uint64)
@@ -202,7 +202,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, model: ToxicityModel,
     held = spark.sparkContext.broadcast(model)
 
     def rows(batches):
-        for batch in chunks(batches, 1):
+        for batch in chunks(batches, 1, 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1).fill_null("")))], ["id", "score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("score", T.DoubleType())])
@@ -218,10 +218,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, model: ToxicityModel, th
     """``docs`` without the rows whose text scores ``threshold`` or more."""
     held = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(text):
-        import pandas as pd
-
-        return pd.Series(held.value.scores(pa.array(text, pa.string()).fill_null("")))
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text.fill_null("")], ["text"])
+        return pa.array(np.concatenate([held.value.scores(x.column(0)) for x in chunks([batch], 0, 2 << 20)] or [np.zeros(0)]))
 
     return docs.where(score(F.col(text_column)) < threshold)
