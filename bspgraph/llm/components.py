@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from bspgraph.llm.shared import Scratch
 
-
 ONE_TASK_ROWS = 300_000
 
 
@@ -41,15 +40,21 @@ def _union_find(batches):
         yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], ["node", "root"])
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star round over (a, b) with a < b."""
+def _stars(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """One large-star and one small-star round over (a, b) with a < b.
+
+    The lowest neighbours are tables of their own, so that the join with a node's many neighbours can be split.
+    """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-    low = large.groupBy("b").agg(F.min("a").alias("m"))
+    least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    large = scratch.save(both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct(), "large")
+    low = scratch.save(large.groupBy("b").agg(F.min("a").alias("m")), "low")
     joined = large.join(low, "b")
     small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(joined.select(F.col("m").alias("a"), "b"))
-    return small.distinct()
+    out = scratch.save(small.distinct(), "stars")
+    for x in (least, large, low):
+        scratch.drop(x)
+    return out
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60, one_task_rows: int = ONE_TASK_ROWS) -> DataFrame:
@@ -58,13 +63,14 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     Self-links and repeated edges are allowed; an empty table gives an empty result. The rounds end when the edge set stays
     the same, which takes about the logarithm of the longest chain.
     """
-    now = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    now = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     if now.count() <= one_task_rows:
         kind = now.schema["a"].dataType
         return now.coalesce(1).mapInArrow(_union_find, T.StructType([T.StructField("node", kind), T.StructField("root", kind)]))
+    now = scratch.save(now.distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        new = scratch.save(_stars(now), "stars")
+        new = _stars(now, scratch)
         got = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = new

@@ -8,11 +8,13 @@ the target recall: a pair of similarity s is missed with probability ``(1 - s) *
 
 Large nodes, mostly families of near copies, never meet in one task:
 - documents with equal sets are one row from the start;
-- a large node branches on, ``levels`` deep, and at every level it is also cut into blocks of ``node_size`` that share one pivot,
-  which links a family in linear work however slowly its nodes shrink;
-- nodes that lie in one component by then are done, as no further link can change a component;
-- in a node that is large at the last level and still mixed, the documents outside its largest component are compared with all of
-  its blocks, so no pair of such a node is lost.
+- nodes that lie in one component are done, as no further link can change a component;
+- where at most ``10 * node_size`` documents of a large node lie outside its largest component, those are compared with the whole
+  node, so that no pair of it is lost;
+- any other large node branches on, ``levels`` deep, and at every level it is also cut into blocks of ``node_size`` that share one
+  pivot, which links a family in linear work however slowly its nodes shrink;
+- in a node that is large at the last level and still mixed, the documents outside its largest component, however many, are compared
+  with all of its blocks.
 
 Before sets travel, the documents of a block are compared on sketches of one byte a minwise token. Those whose sketches agree as a
 pair at the threshold would (less five standard errors) form candidate groups; groups that several trees find are compared once.
@@ -31,7 +33,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -273,6 +275,8 @@ class _Join:
     def __init__(self, spark, docs, id_column, text_column, size, percent, trees, node_size, levels):
         self.spark, self.size, self.percent, self.node_size, self.levels = spark, size, percent, node_size, levels
         self.similarity = percent / 100
+        # Of documents that meet others side by side: each is repeated once for every block of the other side.
+        self.wide = node_size * 10
         self.scratch = Scratch(spark, "neardup")
         self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
         sketch = "id long, key long, n_shingles long, digest binary, paths array<array<long>>, sketch binary"
@@ -290,9 +294,30 @@ class _Join:
         return members.join(self.roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
 
     def mixed(self, members: DataFrame, path: str) -> DataFrame:
-        """Members (with root) of nodes that hold several components, with the node's size ``n`` and its ``pivot``."""
+        """Members (with root) of nodes that hold several components, with the node's size ``n``, its ``pivot`` and its last root.
+
+        The nodes are a table of their own, so that the join with a node's many members can be split.
+        """
         nodes = members.groupBy(path).agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("digest").alias("pivot")).where("r0 != r1")
-        return members.join(nodes.drop("r0", "r1"), path)
+        return self.scratch.save(members.join(self.scratch.save(nodes.drop("r0"), "mixed-nodes"), path), "nodes")
+
+    def sided(self, rows: DataFrame) -> DataFrame:
+        """Members of nodes with the node's largest component ``main`` and how many documents lie outside it."""
+        if self.roots is None:  # every document is a component
+            return rows.select("*", F.col("r1").alias("main"), (F.col("n") - 1).alias("outsiders"))
+        if rows.isEmpty():
+            return rows.select("*", F.col("r1").alias("main"), F.col("n").alias("outsiders"))
+        parts = rows.groupBy("path", "root").agg(F.count("*").alias("c"))
+        sizes = parts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outsiders"))
+        return self.scratch.save(rows.join(self.scratch.save(sizes, "sizes"), "path"), "large")
+
+    def meetings(self, rows: DataFrame) -> list[DataFrame]:
+        """Blocks in which the documents outside a node's largest component meet all documents of the node."""
+        sides, number = F.ceil(F.col("outsiders") / self.wide), F.ceil(F.col("n") / self.wide)
+        spread = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), k - 1))
+        outer = rows.where("root != main").select("path", "digest", "root", F.pmod(F.xxhash64("digest", F.lit(1)), sides).alias("side"), spread(number).alias("part"))
+        inner = rows.select("path", "digest", "root", F.pmod(F.xxhash64("digest"), number).alias("part"), spread(sides).alias("side"))
+        return [x.select(F.struct("path", "side", "part").alias("block"), "digest", "root", F.lit(out).alias("outside")) for x, out in ((outer, True), (inner, False))]
 
     def parts(self):
         """Number of blocks of a node, and a member's block."""
@@ -336,45 +361,36 @@ class _Join:
         self.roots = roots
         self.scratch.drop(found)
 
-    def descend(self, members: DataFrame) -> None:
-        """Decide every node of ``members`` (paths, digest), paths being the nodes of one branch from the first level on."""
-        alone = members.groupBy(members["paths"][0].alias("first")).agg(F.count("*").alias("c")).where("c > 1")
-        shared = members.join(alone, members["paths"][0] == alone["first"]).select("paths", "digest")
-        left = self.scratch.save(self.rooted(shared), "members")
+    def descend(self, trees: Column) -> None:
+        """Decide every node of the trees (``p[0]``) asked for; ``paths`` are the nodes of one branch from the first level on."""
+        branches = self.rooted(self.classes.select("digest", "paths")).select("digest", "root", F.explode("paths").alias("p")).where(trees)
+        left = branches.select("digest", "root", F.expr("slice(p, 2, size(p))").alias("paths"))
         blocks, number, part = [], *self.parts()
-        flat = lambda df, block: df.select(block.alias("block"), "digest", "root", F.lit(False).alias("outside"))
+        block = lambda part: F.struct("path", F.lit(-1).cast("long").alias("side"), part.cast("long").alias("part"))
+        flat = lambda df, part: df.select(block(part).alias("block"), "digest", "root", F.lit(False).alias("outside"))
         for level in range(self.levels):
             now = self.mixed(left.withColumn("path", F.col("paths")[level]), "path")
-            now = self.scratch.save(now, "nodes")
-            self.scratch.drop(left)
-            blocks.append(flat(now.where(F.col("n") <= self.node_size), F.struct("path", F.lit(0).cast("long").alias("part"))))
-            left = now.where(F.col("n") > self.node_size)
+            blocks.append(flat(now.where(F.col("n") <= self.node_size), F.lit(0)))
+            left = self.sided(now.where(F.col("n") > self.node_size))
+            # Few documents outside the largest component meet the whole node at once.
+            blocks += self.meetings(left.where(F.col("outsiders") <= self.wide))
+            left = left.where(F.col("outsiders") > self.wide)
             if left.isEmpty():
                 left = None
                 break
             # A family of near copies is linked through its pivot here, however slowly its nodes shrink.
-            blocks.append(flat(left, F.struct("path", part.alias("part"))))
+            blocks.append(flat(left, part))
             pivots = left.where("digest = pivot").select("path", "digest", "root", F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part"))
-            blocks.append(flat(pivots, F.struct("path", "part")))
+            blocks.append(flat(pivots, F.col("part")))
             left = left.select("paths", "path", "digest", "root")
         self.compare(reduce(DataFrame.unionByName, blocks))
         if left is None:
             return
-        # Nodes that are large at the last level and still hold several components: the documents outside a node's largest
-        # component meet every block of the node.
-        left = self.scratch.save(self.mixed(self.rooted(left.select("path", "digest").distinct()), "path"), "mixed")
-        if left.isEmpty():
-            return
-        largest = left.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("outsiders"))
-        left = left.join(largest, "path")
-        # Blocks of many documents here: a document is repeated once for each block of the other side.
-        wide = self.node_size * 10
-        rows, number = F.ceil(F.col("outsiders") / wide), F.ceil(F.col("n") / wide)
-        part = F.pmod(F.xxhash64("digest"), number)
-        outer = left.where("root != main").select("path", "digest", "root", F.pmod(F.xxhash64("digest", F.lit(1)), rows).alias("o"), F.explode(F.sequence(F.lit(0).cast("long"), number - 1)).alias("part"))
-        inner = left.select("path", "digest", "root", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), rows - 1)).alias("o"))
-        block = F.struct("path", "o", "part").alias("block")
-        self.compare(outer.select(block, "digest", "root", F.lit(True).alias("outside")).unionByName(inner.select(block, "digest", "root", F.lit(False).alias("outside"))))
+        # Nodes that are large at the last level and still hold several components: as above, however many are outside.
+        left = self.scratch.save(self.rooted(left.select("path", "digest").distinct()), "last")
+        left = self.mixed(left, "path")
+        if not left.isEmpty():
+            self.compare(reduce(DataFrame.unionByName, self.meetings(self.sided(left))))
 
 
 def near_duplicates(
@@ -385,13 +401,12 @@ def near_duplicates(
     trees = max(2, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
     run = _Join(spark, docs, id_column, text_column, shingle, percent, trees, node_size, levels)
     # The first tree alone: it finds most links, and what it decides need not travel again for the others.
-    branches = run.classes.select(F.explode("paths").alias("p"), "digest").select(F.col("p")[0].alias("tree"), F.expr("slice(p, 2, size(p))").alias("paths"), "digest")
-    run.descend(branches.where("tree = 0").select("paths", "digest"))
-    run.descend(branches.where("tree > 0").select("paths", "digest"))
+    run.descend(F.col("p")[0] == 0)
+    run.descend(F.col("p")[0] > 0)
     lowest = run.classes.select("digest", "rep")
     if run.roots is not None:
         joined = lowest.join(run.roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+        least = run.scratch.save(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
         lowest = joined.join(least, "root").select("digest", "component_id")
     else:
         lowest = lowest.withColumnRenamed("rep", "component_id")
