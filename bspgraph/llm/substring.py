@@ -2,16 +2,19 @@
 
 1. Each task cuts its documents into chunks, hashes every window (80 bits) and keeps, per hash, the first window of the
    chunk; the others are repeats already. This map-side combine bounds what one hash can send: one entry a chunk.
-2. The kept entries go, packed and compressed, to buckets of the hash range. There each hash that came from several chunks is
-   counted and every entry but the earliest by (id, start) is a repeat.
+2. The kept entries (hash, word, id) go, packed and compressed, to buckets of the hash range. There each hash that came from several
+   chunks is counted and every entry but that of the smallest id is a repeat.
 3. Repeats return to their chunk, where the windows of each document merge into maximal removal intervals.
 4. Intervals meet the texts by a join on (id, hash of the text); a Bloom filter of fixed size keeps texts without any from moving.
 
 The number of buckets follows the bytes of the corpus, so a bucket always holds about ``bucket_bytes`` of text.
 
+The packing pays while a chunk (1.3 million windows) meets fewer buckets than it has windows; an entry takes about 12 bytes up to
+some 30 GB of text and tends to one small row a window in the far end of many terabytes.
+
 Cases: null and empty texts and texts shorter than a window lose nothing; a null id counts as one id before all others; rows
-that share an id are parts of one document, so equal starts of the same id are no repeat of each other while an earlier start
-is; an empty table gives an empty result; all other columns, whatever their names, pass through ``remove_repeats`` unread.
+that share an id are judged each, none being a repeat of another; an empty table gives an empty result; all other columns, whatever
+their names, pass through ``remove_repeats`` unread.
 """
 
 from __future__ import annotations
@@ -40,28 +43,30 @@ def _from_planes(data: memoryview, n: int, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size).reshape(size, n).T).view(kind).reshape(n)
 
 
-def pack_entries(h: np.ndarray, extra: np.ndarray, at: np.ndarray) -> bytes:
-    """Ascending hashes with their extra bits and word numbers; deltas in byte planes compress to about 10 bytes each."""
-    steps = np.diff(h, prepend=np.uint64(0))
-    return len(h).to_bytes(4, "little") + zstandard.compress(_planes(steps) + _planes(extra) + _planes(at.astype(np.uint32)), 1)
+def pack_entries(h: np.ndarray, extra: np.ndarray, at: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ascending hashes with their extra bits, word numbers and document ids; byte planes of deltas compress to about 12 bytes each."""
+    steps, base = np.diff(h, prepend=np.uint64(0)), ids.min()
+    near = ids.view(np.uint64) - base.view(np.uint64)
+    return len(h).to_bytes(4, "little") + base.tobytes() + zstandard.compress(_planes(steps) + _planes(extra) + _planes(at.astype(np.uint32)) + _planes(near), 1)
 
 
-def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    data = memoryview(zstandard.decompress(blob[4:]))
-    return np.cumsum(_from_planes(data, n, np.uint64), dtype=np.uint64), _from_planes(data[8 * n :], n, np.uint16), _from_planes(data[10 * n :], n, np.uint32).astype(np.int64)
+def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, base = int.from_bytes(blob[:4], "little"), np.frombuffer(blob, np.uint64, 1, 4)
+    data = memoryview(zstandard.decompress(blob[12:]))
+    ids = (_from_planes(data[14 * n :], n, np.uint64) + base).view(np.int64)
+    return np.cumsum(_from_planes(data, n, np.uint64), dtype=np.uint64), _from_planes(data[8 * n :], n, np.uint16), _from_planes(data[10 * n :], n, np.uint32), ids
 
 
-def pack_docs(ids: np.ndarray, first: np.ndarray, key: np.ndarray | None = None) -> bytes:
-    """Ids and first words of a chunk's documents, and their text hashes where the intervals are named."""
-    return len(ids).to_bytes(4, "little") + zstandard.compress(_planes(np.diff(ids.view(np.uint64), prepend=np.uint64(0))) + _planes(first.astype(np.uint32)) + (b"" if key is None else key.tobytes()), 1)
+def pack_docs(ids: np.ndarray, first: np.ndarray, key: np.ndarray) -> bytes:
+    """Ids, first words and text hashes of a chunk's documents."""
+    return len(ids).to_bytes(4, "little") + zstandard.compress(_planes(np.diff(ids.view(np.uint64), prepend=np.uint64(0))) + _planes(first.astype(np.uint32)) + key.tobytes(), 1)
 
 
-def unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def unpack_docs(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     data = memoryview(zstandard.decompress(blob[4:]))
     ids = np.cumsum(_from_planes(data, n, np.uint64), dtype=np.uint64).view(np.int64)
-    return ids, _from_planes(data[8 * n :], n, np.uint32).astype(np.int64), np.frombuffer(data[12 * n :], np.int64, n) if len(data) > 12 * n else None
+    return ids, _from_planes(data[8 * n :], n, np.uint32).astype(np.int64), np.frombuffer(data[12 * n :], np.int64, n)
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -91,28 +96,34 @@ def chunk_entries(batch: pa.RecordBatch, window: int):
         second *= SECOND_BASE
         second += word_hash[k : k + len(second)]
     extra = (mix(second[at]) >> np.uint64(48)).astype(np.uint16)
-    doc = words.doc[at]
+    own = ids[words.doc[at]]
     if len(np.unique(ids)) == len(ids):
         by = np.argsort(h, kind="stable")  # equal hashes stay in (id, start) order
-        hs, es, ws = h[by], extra[by], at[by]
-        new = np.ones(len(hs), bool)
-        new[1:] = (hs[1:] != hs[:-1]) | (es[1:] != es[:-1])
+        hs, es = h[by], extra[by]
         # equal 64-bit hashes of differing extra bits may alternate; sort those few again
-        odd = np.flatnonzero((hs[1:] == hs[:-1]) & (es[1:] != es[:-1]))
-        if len(odd):
+        if ((hs[1:] == hs[:-1]) & (es[1:] != es[:-1])).any():
             by = np.lexsort((at, extra, h))
-            hs, es, ws = h[by], extra[by], at[by]
-            new[1:] = (hs[1:] != hs[:-1]) | (es[1:] != es[:-1])
-    else:  # rows share ids: order by (id, start in its row), and equal pairs are no repeats of each other
-        start = at - words.first[doc]
-        by = np.lexsort((start, ids[doc], extra, h))
-        hs, es, ws = h[by], extra[by], at[by]
-        group = np.ones(len(hs), bool)
-        group[1:] = (hs[1:] != hs[:-1]) | (es[1:] != es[:-1])
-        head = np.maximum.accumulate(np.where(group, np.arange(len(hs)), 0))
-        i, s = ids[doc][by], start[by]
-        new = (i == i[head]) & (s == s[head])
-    return name, table, (hs[new], es[new], ws[new]), np.sort(ws[~new])
+            hs, es = h[by], extra[by]
+        new = _heads(hs, es)
+    else:  # rows share ids: of the smallest id, each row keeps its first window
+        by = np.lexsort((at, own, extra, h))
+        hs, es, i, row = h[by], extra[by], own[by], words.doc[at][by]
+        group = _heads(hs, es)
+        new = i == i[_head_of(group)]
+        new[1:] &= group[1:] | (row[1:] != row[:-1])
+    kept = by[new]
+    return name, table, (h[kept], extra[kept], at[kept], own[kept]), np.sort(at[by[~new]])
+
+
+def _heads(h: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Where a new hash begins in a sorted list."""
+    out = np.ones(len(h), bool)
+    out[1:] = (h[1:] != h[:-1]) | (extra[1:] != extra[:-1])
+    return out
+
+
+def _head_of(heads: np.ndarray) -> np.ndarray:
+    return np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))
 
 
 def _entry_rows(window: int, buckets: int):
@@ -121,54 +132,40 @@ def _entry_rows(window: int, buckets: int):
             name, table, first, repeats = chunk_entries(batch, window)
             if first is None:
                 continue
-            h, extra, at = first
+            h, extra, at, own = first
             where = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(where, prepend=-1))
             ends = [*cut[1:], len(h)]
-            blobs = [pack_entries(h[a:b], extra[a:b], at[a:b]) for a, b in zip(cut, ends, strict=True)]
-            # One more row for the chunk itself: its repeats so far and, once, what names its documents.
-            keys, kinds = [*where[cut].tolist(), name % buckets], [0] * len(cut) + [1]
-            docs = [pack_docs(*table[:2])] * len(cut) + [pack_docs(*table)]
+            blobs = [pack_entries(h[a:b], extra[a:b], at[a:b], own[a:b]) for a, b in zip(cut, ends, strict=True)]
+            # One more row for the chunk itself: its documents and its repeats so far.
+            keys, docs = [*where[cut].tolist(), name % buckets], [None] * len(cut) + [pack_docs(*table)]
             blobs.append(pack_numbers(repeats))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(kinds, pa.int32()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "kind", "docs", "entries"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "docs", "entries"])
 
     return rows
 
 
 def _later(table: pa.Table) -> pa.Table:
-    """Of one bucket: the entries of each chunk whose window starts earlier elsewhere; known repeats pass through."""
-    kinds, names = table["kind"].to_pylist(), table["chunk"].to_pylist()
-    docs, blobs = table["docs"].to_pylist(), table["entries"].to_pylist()
-    out: list[tuple[int, bytes, bytes]] = [(names[k], docs[k], blobs[k]) for k, kind in enumerate(kinds) if kind]
-    mine = [k for k, kind in enumerate(kinds) if not kind]
+    """Of one bucket: the entries of each chunk whose window stands in a document of smaller id; known repeats pass through."""
+    names, docs, blobs = (table[c].to_pylist() for c in ("chunk", "docs", "entries"))
+    out: list[tuple[int, bytes | None, bytes]] = [(names[k], x, blobs[k]) for k, x in enumerate(docs) if x is not None]
+    mine = [k for k, x in enumerate(docs) if x is None]
     parts = [unpack_entries(blobs[k]) for k in mine]
     if parts:
-        h = np.concatenate([p[0] for p in parts])
-        size = [len(p[0]) for p in parts]
+        h, extra, at, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        ends = np.cumsum([len(p[0]) for p in parts])
+        del parts
         by = np.argsort(h)
-        hs = h[by]
-        same = hs[1:] == hs[:-1]
-        twice = np.zeros(len(hs), bool)
+        same = h[by[1:]] == h[by[:-1]]
+        twice = np.zeros(len(by), bool)
         twice[1:] |= same
         twice[:-1] |= same
         pick = by[twice]
+        pick = pick[np.lexsort((ids[pick], extra[pick], h[pick]))]
         if len(pick):
-            source = np.searchsorted(np.cumsum(size), pick, side="right")
-            extra, at = np.concatenate([p[1] for p in parts])[pick], np.concatenate([p[2] for p in parts])[pick]
-            ids, start = np.empty(len(pick), np.int64), np.empty(len(pick), np.int64)
-            for s in np.unique(source):
-                rows = source == s
-                i, first, _ = unpack_docs(docs[mine[s]])
-                d = np.searchsorted(first, at[rows], side="right") - 1
-                ids[rows], start[rows] = i[d], at[rows] - first[d]
-            hp = h[pick]
-            order = np.lexsort((start, ids, extra, hp))
-            hp, ep, i, s = hp[order], extra[order], ids[order], start[order]
-            group = np.ones(len(hp), bool)
-            group[1:] = (hp[1:] != hp[:-1]) | (ep[1:] != ep[:-1])
-            head = np.maximum.accumulate(np.where(group, np.arange(len(hp)), 0))
-            late = order[(i != i[head]) | (s != s[head])]
-            source, at = source[late], at[late]
+            i = ids[pick]
+            pick = pick[i != i[_head_of(_heads(h[pick], extra[pick]))]]
+            source, at = np.searchsorted(ends, pick, side="right"), at[pick]
             for s in np.unique(source):
                 out.append((names[mine[s]], None, pack_numbers(np.sort(at[source == s]))))
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "docs": pa.array([x[1] for x in out], pa.binary()), "words": pa.array([x[2] for x in out], pa.binary())})
@@ -199,7 +196,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column:
     total = docs.agg(F.sum(F.octet_length(text_column).cast("long")).alias("n")).first()["n"] or 0
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text_column).alias("k"), F.coalesce(text_column, F.lit("")).alias("t"))
-    entries = keyed.mapInArrow(_entry_rows(window, buckets), "bucket long, chunk long, kind int, docs binary, entries binary")
+    entries = keyed.mapInArrow(_entry_rows(window, buckets), "bucket long, chunk long, docs binary, entries binary")
     late = entries.groupBy("bucket").applyInArrow(_later, "chunk long, docs binary, words binary")
     spans = late.groupBy("chunk").applyInArrow(_spans(window), "k_id long, k_text long, spans array<int>")
     return spans.dropDuplicates(["k_id", "k_text"])
@@ -264,11 +261,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
     cut, whole = _split(spark, docs, window, id_column, text_column, [row])
 
-    @F.pandas_udf(T.StringType())
-    def removed(text, spans):
-        import pandas as pd
-
-        return pd.Series([None if x is None else cut_spans(x, None if s is None else list(s)) for x, s in zip(text, spans, strict=True)], dtype=object)
+    @F.arrow_udf(T.StringType())
+    def removed(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else cut_spans(x, s) for x, s in zip((t.as_py() for t in text), (t.as_py() for t in spans), strict=True)], pa.string())
 
     text = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(removed(F.col("row")[text_column], F.col("spans")))
     changed = cut.select(*[(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -73,15 +73,18 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        length = self.end - self.start
-        where = np.flatnonzero(~self.space)
-        within = np.arange(len(where)) - np.repeat(np.cumsum(length) - length, length)
-        terms = BYTE_MIX[self.data[where]] * powers(WORD_BASE, int(length.max()))[within]
-        return mix(np.add.reduceat(terms, np.cumsum(length) - length) + length.astype(np.uint64))
+    def hashes(self, run: int = 1 << 15) -> np.ndarray:
+        """A 64-bit hash of each word, made ``run`` words at a time so that the bytes' terms stay in cache."""
+        out, length = np.empty(len(self.start), np.uint64), self.end - self.start
+        power = powers(WORD_BASE, int(length.max(initial=0)))
+        for a in range(0, len(out), run):
+            n = length[a : a + run]
+            low, high = self.start[a], self.end[a + len(n) - 1]
+            where = np.flatnonzero(~self.space[low:high])
+            head = np.cumsum(n) - n
+            terms = BYTE_MIX[self.data[low:high][where]] * power[np.arange(len(where)) - np.repeat(head, n)]
+            out[a : a + run] = mix(np.add.reduceat(terms, head) + n.astype(np.uint64))
+        return out
 
     def windows(self, word_hash: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Rabin-Karp hashes of every ``size`` consecutive words of one document, and the words where they start."""

@@ -11,7 +11,7 @@ from llm_fixtures import collected, documents, near_components, prose, repeats
 from bspgraph.llm.components import connected_components
 from bspgraph.llm.neardup import minwise, near_duplicates, pack_set, shingle_sets, unpack_set, without_near_duplicates
 from bspgraph.llm.shared import Scratch
-from bspgraph.llm.substring import cut_spans, removal_digest, remove_repeats
+from bspgraph.llm.substring import cut_spans, pack_entries, removal_digest, remove_repeats, unpack_entries
 
 
 def changed(rng, words, share):
@@ -190,6 +190,37 @@ def test_odd_repeats(spark):
     assert remove_repeats(spark, documents(spark, []), 20).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_rows_that_share_ids(spark, parts):
+    """Each row is judged alone: smaller ids and earlier places of its own text count, rows of the same id don't."""
+    window, rows = 6, [(i % 40, t) for i, t in shared_passages(5, 160, 6)]
+    words = [t.split() for _, t in rows]
+    first, own = {}, [{} for _ in rows]
+    for k, (i, _) in enumerate(rows):
+        for s in range(len(words[k]) - window + 1):
+            g = tuple(words[k][s : s + window])
+            first[g] = min(first.get(g, i), i)
+            own[k].setdefault(g, s)
+    want = []
+    for k, (i, _) in enumerate(rows):
+        gone = set()
+        for s in range(len(words[k]) - window + 1):
+            g = tuple(words[k][s : s + window])
+            if first[g] < i or own[k][g] < s:
+                gone.update(range(s, s + window))
+        want.append((i, len(words[k]), len(gone)))
+    got = removal_digest(spark, documents(spark, rows).repartition(parts), window)
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == sorted(want)
+
+
+def test_entries_survive_packing():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 1000):
+        h, extra, at = np.sort(rng.integers(0, 2**64, n, dtype=np.uint64)), rng.integers(0, 2**16, n).astype(np.uint16), rng.integers(0, 2**31, n)
+        for ids in (rng.integers(-(2**63), 2**63 - 1, n), rng.integers(10, 20, n), np.full(n, -(2**63))):
+            assert all((a == b).all() for a, b in zip(unpack_entries(pack_entries(h, extra, at, ids)), (h, extra, at, ids), strict=True))
+
+
 def test_texts_without_repeats(spark):
     rows = shared_passages(77, 120, 12)
     docs = documents(spark, [*rows, (-5, None)])
