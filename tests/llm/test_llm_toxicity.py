@@ -27,7 +27,7 @@ def auc(score, label):
 
 
 def test_held_out_accuracy(spark):
-    """On the 1,000-document tables: labels of the held-out quarter are predicted without having been seen."""
+    """On the 10,000-document tables: labels of the held-out quarter are predicted without having been seen."""
     import os
 
     sf = "/root/testdata/sf0.1"
