@@ -2,7 +2,7 @@
 
 Each dimension is quantised to ``bits`` bits at its approximate quantiles, so hot values spread no wider than they must. The cell
 of a row gives its index on the Hilbert curve; rows are range-partitioned and sorted by (index, crc of the text, id), numbered
-globally by partition offsets and cut into runs whose row counts are at most one apart. Texts never move: only ids, sizes and
+globally by broadcast partition offsets and cut into runs whose row counts are at most one apart. Texts never move: only ids, sizes and
 codes do, and the sort key ends in the id, so no key can be hot.
 
 Cases: null metadata sorts before all values; null and empty texts have size 1 and crc 0; repeated rows take a slot each; fewer
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bspgraph.llm.shared import Scratch
@@ -95,15 +95,14 @@ def hilbert_shards(
     ordered = placed.repartitionByRange("curve", "crc", F.col("id").asc_nulls_first()).sortWithinPartitions("curve", "crc", F.col("id").asc_nulls_first())
     rows = scratch.save(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
     scratch.drop(base)
-    # Rows before each partition: as many rows as there are partitions.
+    # Rows before each partition: a table of as many rows as there are partitions.
     part = F.call_function("shiftright", F.col("at"), F.lit(33))
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    total, before = 0, []
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
-    offsets = F.create_map(*[F.lit(x).cast("long") for pair in before for x in pair]) if before else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    rank = F.element_at(offsets, part) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    offsets = scratch.save(sizes.select("p", before.alias("before")), "offsets")
+    total = rows.count()
+    rows = rows.join(F.broadcast(offsets), part == offsets["p"])
+    rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     out = rows.select(F.col("id").alias(id_column), "size", F.col("crc").alias("text_crc32"), "curve", rank.alias("rank"))
     out = out.withColumn("shard", F.expr(f"int(rank * {shards} div {max(total, 1)})"))
     # The first rank of shard s is the ceiling of s * total / shards.
