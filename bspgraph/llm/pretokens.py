@@ -1,7 +1,7 @@
 """Splitting texts into the pre-tokens of public tokenizers, exactly as the tokenizers library does.
 
-Texts whose characters all lie in a plain range are split by a compiled pattern. Any other text (controls, rare scripts,
-odd spaces) is split by the library itself, so Unicode tables of two libraries never have to agree.
+Texts whose characters all lie in a plain range are split by a compiled pattern that lists the range's letters and numbers. Any
+other text (controls, rare scripts, odd spaces) is split by the library itself, so no Unicode tables have to agree.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
 
-import regex
-
-BYTE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Outside these characters the library splits.
-ODD = regex.compile("[^\t-\r -~\xa1-\xff]")
+ODD = re.compile("[^\t-\r -~\xa1-\xff]")
+#: Letters and numbers of the plain range.
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+ENDING = "'(?:[stmd]|re|ve|ll)"
+#: The tokenizers' own patterns for texts of the plain range.
+BYTE_WORDS = re.compile(rf"{ENDING}| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+CASELESS_WORDS = re.compile(rf"{ENDING}|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
 
 
 @functools.lru_cache(4)
@@ -41,9 +45,9 @@ class BytePretokens:
     def __init__(self, path: str):
         self.path = path
         self.special = special_tokens(path)
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._marks = list(self.special)
-        self._find = regex.compile(BYTE_PATTERN).findall
+        self._find = BYTE_WORDS.findall
 
     def plain(self, text: str) -> list[str]:
         if ODD.search(text) is None:

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import re
 import struct
 import uuid
 import zlib
@@ -31,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bspgraph.llm.pretokens import ODD, library, special_tokens
+from bspgraph.llm.pretokens import CASELESS_WORDS, ODD, library, special_tokens
 from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
 from bspgraph.llm.textops import chunks
 
@@ -39,12 +38,6 @@ SKIPPABLE, IDS_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 NO_ID = -(2**63)
 
 
-#: Letters and numbers of the plain range, lower-cased.
-LETTER, NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The tokenizer's own pattern for texts of the plain range.
-PLAIN_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
-
-
 class WordEncoder:
     """Ids of texts as bytes; words seen lately are kept, all others are encoded by the tokenizers library."""
 
@@ -61,7 +54,7 @@ class WordEncoder:
         if len(self.words) > self.most:
             self.old, self.words = self.words, {}
         words, old = self.words, self.old
-        pieces = [None if ODD.search(x) or any(m in x for m in self.marks) else PLAIN_WORDS.findall(x.lower()) for x in texts]
+        pieces = [None if ODD.search(x) or any(m in x for m in self.marks) else CASELESS_WORDS.findall(x.lower()) for x in texts]
         new = set(itertools.chain.from_iterable(p for p in pieces if p is not None)).difference(words)
         words.update((w, old[w]) for w in new if w in old)
         self._learn([w for w in new if w not in words])
