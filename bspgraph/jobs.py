@@ -25,7 +25,7 @@ from bspgraph.plans import algorithms
 from bspgraph.plans.program import has_program, program
 from bspgraph.plans.superstep import Cancelled, Stats, SuperstepLoop
 from bspgraph.sources.store import has_store, open_store
-from bspgraph.storage import path_exists
+from bspgraph.storage import Workspace, path_exists
 
 MIN_CPU, MIN_MEM, MIN_VERTICES, TIMEOUTS = 0.05, 32.0, 1000, (10, 600)
 
@@ -98,12 +98,24 @@ def validity(requests: DataFrame) -> DataFrame:
 
 
 def listed(jobs: DataFrame) -> DataFrame:
-    """(position, id, label, created, status) by creation time, then id."""
-    from pyspark.sql import Window
+    """(position, id, label, created, status) by creation time, then id.
 
+    Positions come from a stored range sort and the row counts of its partitions, so no task sees all jobs.
+    """
     name = F.coalesce(*[F.when(F.col("status") == int(s), F.lit(s.name.lower())) for s in JobStatus], F.lit("unknown"))
-    position = F.row_number().over(Window.orderBy("creation_time", "id"))
-    return jobs.select(position.cast("bigint").alias("position"), "id", "label", F.unix_timestamp("creation_time").alias("created"), name.alias("status"))
+    rows = jobs.select("creation_time", "id", "label", F.unix_timestamp("creation_time").alias("created"), name.alias("status"))
+    ordered = rows.repartitionByRange("creation_time", "id").sortWithinPartitions("creation_time", "id")
+    space = Workspace(jobs.sparkSession, "listed")
+    rows, _ = space.save(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.call_function("shiftright", F.col("at"), F.lit(33))
+    # Rows before each partition: as many numbers as there are partitions.
+    before, total = [], 0
+    for p, n in sorted(rows.groupBy(part.alias("p")).count().collect()):
+        before.append((p, total))
+        total += n
+    offsets = F.broadcast(jobs.sparkSession.createDataFrame(before, "p long, before long"))
+    position = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(offsets, part == offsets["p"]).select(position.alias("position"), "id", "label", "created", "status")
 
 
 class JobStore:
