@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bspgraph.llm.shared import Scratch
@@ -62,8 +62,9 @@ class PositionalIndex:
         n = vocabulary.count()
         words = self.docs.select(F.explode(word_array(F.col("text"))).alias("term"))
         counts = self.scratch.save(words.join(small(vocabulary, n), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n")), "counts")
+        self.rarest, self.ranks = rarest, terms.join(small(counts, n), "term", "left")
         # A window with a term that the corpus lacks can't occur.
-        ranked = terms.join(small(counts, n), "term", "left").groupBy("pid").agg(
+        ranked = self.ranks.groupBy("pid").agg(
             F.slice(F.array_sort(F.collect_list(F.struct("n", "off", "term"))), 1, rarest).alias("low"), F.count_if(F.col("n").isNull()).alias("absent")
         )
         listed = F.transform("low", lambda x, k: F.struct(x["off"].alias("off"), x["term"].alias("term"), F.call_function("shiftleft", F.lit(1), k).alias("bit")))
@@ -71,7 +72,7 @@ class PositionalIndex:
         self.lookups = self.scratch.save(lookups, "lookups")
         self.n_lookups = self.lookups.count()
         chosen = self.lookups.select("term").distinct()
-        postings = self.docs.select(F.hash("text").alias("key"), "doc", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
+        postings = self.docs.select(F.xxhash64("text").alias("key"), "doc", F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
         self.postings = self.scratch.save(postings.join(small(chosen, self.n_lookups), "term", "left_semi").select("term", "doc", "key", "pos"), "postings")
 
     def phrase_candidates(self) -> DataFrame:
@@ -81,14 +82,25 @@ class PositionalIndex:
         return agreed.where(F.bit_count("lists") == F.col("k")).select("doc", "key", "pid", "start")
 
     def proximity_matches(self, slop: int) -> DataFrame:
-        """(doc, item, first, last): all look-up terms of a window within ``slop`` words of one another, in any order.
+        """(doc, item, first, last): the shortest stretches that hold all look-up terms of a window within ``slop`` words of one another, in any order.
 
-        Positions meet in cells of ``slop`` words, each posting in its own cell and the one before, so no pair of one list is formed.
+        Look-up terms are here the window's ``rarest`` different terms of the corpus, whether or not the corpus has its others; a
+        window of several terms of which the corpus has one says nothing about nearness and is left out. Each posting is judged by
+        the nearest one before it of every other term, in one scan of the document's sorted postings.
         """
-        cells = self.postings.join(small(self.lookups, self.n_lookups), "term").select("doc", "key", "pid", "k", "term", "pos", F.explode(F.array(F.floor(F.col("pos") / slop), F.floor(F.col("pos") / slop) - 1)).alias("cell"))
-        needed = self.lookups.groupBy("pid").agg(F.count_distinct("term").alias("terms"))
-        near = cells.groupBy("doc", "key", "pid", "cell").agg(F.count_distinct("term").alias("found"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-        near = near.join(needed, "pid").where((F.col("found") == F.col("terms")) & (F.col("last") - F.col("first") <= slop))
+        present = F.array_sort(F.collect_set(F.when(F.col("n").isNotNull(), F.struct("n", "term"))))
+        lists = self.ranks.groupBy("pid").agg(F.slice(present, 1, self.rarest).alias("low"), F.count_distinct("term").alias("terms"))
+        lists = lists.where(F.size("low") >= F.least(F.lit(2), "terms", F.lit(self.rarest)))
+        lookups = self.scratch.save(lists.select("pid", F.size("low").alias("k"), F.posexplode("low.term").alias("slot", "term")), "near")
+        n = lookups.count()
+        chosen = lookups.select("term").distinct()
+        words = self.docs.select("doc", F.xxhash64("text").alias("key"), F.posexplode(word_array(F.col("text"))).alias("pos", "term"))
+        at = words.join(small(chosen, n), "term", "left_semi").join(small(lookups, n), "term")
+        until = Window.partitionBy("doc", "key", "pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        latest = F.array(*[F.max(F.when(F.col("slot") == j, F.col("pos"))).over(until) for j in range(self.rarest)])
+        seen = at.select("doc", "key", "pid", "k", "pos", F.slice(latest, F.lit(1), F.col("k")).alias("latest"))
+        near = seen.where(~F.exists("latest", lambda x: x.isNull())).select("doc", "key", "pid", F.array_min("latest").alias("first"), F.col("pos").alias("last"))
+        near = near.where(F.col("last") - F.col("first") <= slop).groupBy("doc", "key", "pid", "first").agg(F.min("last").alias("last"))
         return near.join(self.phrases.select("pid", "phrase"), "pid").join(self.windows.select("phrase", "item"), "phrase").select("doc", "item", "first", "last").distinct()
 
 
@@ -96,13 +108,13 @@ def contamination(
     spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 13, rarest: int = 2, id_column: str = "doc_id",
     text_column: str = "text", item_column: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every document."""
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, items, key) of every document, key being the text's xxhash64."""
     index = PositionalIndex(spark, docs, benchmark, size, rarest, id_column, text_column, item_column, item_text)
     found = index.phrase_candidates().groupBy("doc", "key", "pid").agg(F.collect_list("start").alias("starts"))
     found = index.scratch.save(found, "candidates")
     ids = index.scratch.save(found.select("doc", "key").distinct(), "ids")
     rows = ids.count()
-    keyed = index.docs.select("doc", F.hash("text").alias("key"), "text")
+    keyed = index.docs.select("doc", F.xxhash64("text").alias("key"), "text")
     on = keyed["doc"].eqNullSafe(ids["doc"]) & (keyed["key"] == ids["key"])
     texts = keyed.join(small(ids, rows), on, "left_semi").dropDuplicates(["doc", "key"]).select("doc", "key", word_array(F.col("text")).alias("w"))
     n_phrases = index.phrases.count()
@@ -118,13 +130,13 @@ def contamination(
     n_windows = index.windows.count()
     items = hits.select("doc", "key", "phrase").join(small(index.windows.select("phrase", "item"), n_windows), "phrase").groupBy("doc", "key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     marks = spans.select("doc", "key", union["hit"].cast("long").alias("n_hit")).join(items.withColumnsRenamed({"doc": "d2", "key": "k2"}), F.col("doc").eqNullSafe(F.col("d2")) & (F.col("key") == F.col("k2"))).select("doc", "key", "n_hit", "items")
-    sizes = index.docs.select("doc", F.hash("text").alias("key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    sizes = index.docs.select("doc", F.xxhash64("text").alias("key"), F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
     a, m = sizes.alias("a"), marks.alias("m")
     out = a.join(m, F.col("a.doc").eqNullSafe(F.col("m.doc")) & (F.col("a.key") == F.col("m.key")), "left")
     hit, names = F.coalesce("m.n_hit", F.lit(0).cast("long")), F.coalesce("m.items", F.array().cast("array<string>"))
     return out.select(
         F.col("a.doc").alias(id_column), "n_words", hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), names.alias("items"),
+        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"), names.alias("items"), F.col("a.key").alias("key"),
     )
 
 

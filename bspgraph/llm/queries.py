@@ -70,7 +70,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from bspgraph.llm.decontaminate import contamination
 
     out = contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=13)
-    return out.drop("items")
+    return out.drop("items", "key")
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

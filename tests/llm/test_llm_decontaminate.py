@@ -88,3 +88,26 @@ def test_query_against_sql(spark, sf):
     got = sorted(tuple(r[c] for c in columns) for r in df.collect())
     assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op7_benchmark_decontamination']})").fetchall())
     assert any(r[columns.index("contaminated")] for r in got)
+
+
+def test_proximity_of_repeated_and_absent_terms(spark):
+    """A repeated term hides no close pair, and a window that the corpus lacks a term of still has its others."""
+    def near(rows, items, slop, size=3, rarest=2):
+        index = PositionalIndex(spark, documents(spark, rows), items_table(spark, items), size, rarest, "doc_id", "text", "item_id", "text")
+        return {tuple(r) for r in index.proximity_matches(slop).collect()}
+
+    text = lambda places: " ".join(places.get(k, f"f{k}") for k in range(40))
+    assert near([(1, text({0: "a", 8: "a", 13: "b"}))], [(1, "a b")], 10) == {(1, "1", 8, 13)}
+    assert near([(1, text({3: "a", 9: "b"})), (2, text({3: "a"}))], [(1, "a missing b")], 10) == {(1, "1", 3, 9)}
+    assert near([(1, text({3: "a"}))], [(1, "a missing gone")], 10) == set()
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60)))) for k in range(40)]
+    items = [(1, "a b c"), (2, "d d e"), (3, "f")]
+    want = set()
+    for i, t in rows:
+        words = t.split()
+        for k, said in items:
+            terms = set(said.split())
+            spans = [(x, y) for x in range(len(words)) for y in range(x, min(x + 6, len(words))) if terms <= set(words[x : y + 1])]
+            want |= {(i, str(k), x, y) for x, y in spans if not any((x, y) != o and x <= o[0] and o[1] <= y for o in spans)}
+    assert near(rows, items, 5, rarest=3) == want
