@@ -46,8 +46,10 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents without a whole benchmark window and without benchmark text that makes up a twentieth of them."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination(spark, docs, benchmark, size=BENCHMARK_WORDS).where(F.col("contaminated") | (F.col("n_hit") >= BENCHMARK_WORDS))
-    leaks = materialize(spark, found.select(F.col("doc_id").alias("leak")).distinct(), "leaks")
-    return docs.join(small(leaks, leaks.count()), docs["doc_id"].eqNullSafe(leaks["leak"]), "left_anti")
+    leaks = materialize(spark, found.select(F.col("doc_id").alias("leak"), "key").distinct(), "leaks")
+    # An id, or a null one, may stand for clean and contaminated rows at once.
+    match = docs["doc_id"].eqNullSafe(leaks["leak"]) & (F.xxhash64(docs["text"]) == leaks["key"])
+    return docs.join(small(leaks, leaks.count()), match, "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,3 +102,15 @@ def test_odd_rows_and_columns(spark, folder):
         assert now.columns == odd.columns
     assert sorted(str(r.doc_id) for r in now.collect()) == ["1", "3", "4", "5", "None", "None"]
     assert corpus_pipeline.STAGES[-1][1](spark, now, folder).count() == 6
+
+
+def test_clean_rows_stay_beside_contaminated_ones(spark, tmp_path):
+    """An id, or a null one, that a contaminated row and a clean one share removes the contaminated row alone."""
+    rng = random.Random(3)
+    item = " ".join(prose(rng, 30, 3000))
+    clean = [" ".join(prose(rng, 40, 3000)) for _ in range(4)]
+    dirty = f"{clean[0]} {item} {clean[1]}"
+    docs = [(1, clean[0]), (1, dirty), (1, clean[0]), (None, clean[1]), (None, dirty), (None, None), (2, clean[2]), (3, dirty)]
+    folder = write(spark, f"file://{tmp_path}", docs, [(1, 1, 0)], [(1, item)])
+    got = corpus_pipeline.decontaminate(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert rows(got) == sorted([x for x in docs if x[1] != dirty], key=str)
