@@ -282,7 +282,7 @@ class _Join:
         sketch = "id long, key long, n_shingles long, digest binary, paths array<array<long>>, sketch binary"
         self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity, levels), sketch), "sketches")
         self.classes = self.scratch.save(
-            self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "classes"
+            self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("keep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "classes"
         )
         self.links: list[DataFrame] = []
         self.roots: DataFrame | None = None
@@ -393,39 +393,48 @@ class _Join:
             self.compare(reduce(DataFrame.unionByName, self.meetings(self.sided(left))))
 
 
-def near_duplicates(
+def _judged(
     spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80,
     recall: float = 0.99999, node_size: int = 48, levels: int = 3,
 ) -> DataFrame:
-    """(id, key, n_shingles, component_id, kept) of every row, key being the text's xxhash64; documents are linked at 100 * common >= percent * united shingles."""
+    """(id, key, n_shingles, component_id, stays) of every row; of each class the rows of one (id, text) stay, the least by id (nulls last), digest and key."""
     trees = max(2, math.ceil(math.log(1 - recall) / math.log(1 - percent / 100)))
     run = _Join(spark, docs, id_column, text_column, shingle, percent, trees, node_size, levels)
     # The first tree alone: it finds most links, and what it decides need not travel again for the others.
     run.descend(F.col("p")[0] == 0)
     run.descend(F.col("p")[0] > 0)
-    lowest = run.classes.select("digest", "rep")
+    lowest = run.classes.select("digest", "rep", F.struct("keep.none", "keep.id", "digest", "keep.key").alias("keep"))
     if run.roots is not None:
         joined = lowest.join(run.roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        least = run.scratch.save(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-        lowest = joined.join(least, "root").select("digest", "component_id")
+        least = run.scratch.save(joined.groupBy("root").agg(F.min("rep").alias("component_id"), F.min("keep").alias("keep")), "least")
+        lowest = joined.drop("keep").join(least, "root").select("digest", "component_id", "keep")
     else:
         lowest = lowest.withColumnRenamed("rep", "component_id")
     out = run.sketches.select("id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(lowest, "digest", "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "id"))
+    stays = F.col("keep").isNull() | (F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("key") == F.col("keep.key")))
+    return out.select("id", "key", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), stays.alias("stays"))
+
+
+def near_duplicates(
+    spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80,
+    recall: float = 0.99999, node_size: int = 48, levels: int = 3,
+) -> DataFrame:
+    """(id, key, n_shingles, component_id, kept) of every row, key being the text's xxhash64; documents are linked at 100 * common >= percent * united shingles."""
+    out = _judged(spark, docs, id_column, text_column, shingle, percent, recall, node_size, levels)
     return out.select(F.col("id").alias(id_column), "key", "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it. Rows equal in id and text are one document."""
+    """``docs`` with one document of each class: one with the least id, of several the least by digest. Rows equal in id and text are one document."""
     scratch = Scratch(spark, "kept")
-    found = near_duplicates(spark, docs, id_column, text_column, shingle, percent).withColumnRenamed(id_column, "i")
-    found = scratch.save(found.select("i", "key", "kept"), "found")
-    gone = scratch.save(found.where(~F.col("kept")).select("i", "key").distinct(), "gone")
+    found = _judged(spark, docs, id_column, text_column, shingle, percent)
+    found = scratch.save(found.select(F.col("id").alias("i"), "key", "stays"), "found")
+    gone = scratch.save(found.where(~F.col("stays")).select("i", "key").distinct(), "gone")
     # Ids of the removed documents are broadcast while they are few and joined by shuffle beyond that.
     rows = gone.count()
     match = docs[id_column].cast("long").eqNullSafe(gone["i"]) & (F.xxhash64(docs[text_column]) == gone["key"])
     left = docs.join(F.broadcast(gone) if rows <= BROADCAST_ROWS else gone, match, "left_anti")
-    if found.where("kept").groupBy("i", "key").count().where("count > 1").isEmpty():
+    if found.where("stays").groupBy("i", "key").count().where("count > 1").isEmpty():
         return left
     return left.dropDuplicates([id_column, text_column])
 

@@ -98,6 +98,17 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted([*want, 500, 501])
 
 
+def test_one_row_stays_where_ids_are_null_or_shared(spark):
+    rng = random.Random(12)
+    base = [prose(rng, 80, 3000) for _ in range(4)]
+    text = lambda b, k: " ".join([*base[b][:-1], f"end{k}"])
+    rows = [(None, text(0, k)) for k in range(4)] + [(7, text(1, k)) for k in range(3)] + [(None, text(2, 0)), (9, text(2, 1)), (8, text(2, 2)), (8, text(2, 3)), (None, text(3, 0)), (None, text(3, 0)), (None, None), (7, "")]
+    got = sorted((str(r.doc_id), r.text) for r in without_near_duplicates(spark, documents(spark, rows)).collect() if r.text)
+    assert [i for i, _ in got] == ["7", "8", "None", "None"]
+    assert set(got) <= {(str(i), t) for i, t in rows}
+    assert sorted(next(k for k in range(4) if t.startswith(" ".join(base[k][:-1]))) for _, t in got) == [0, 1, 2, 3]
+
+
 def test_minwise_tokens_estimate_similarity():
     rng = np.random.default_rng(1)
     agree = []
