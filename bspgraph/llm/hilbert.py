@@ -63,19 +63,31 @@ def hilbert_index(codes: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, level, lambda s: s["h"])
 
 
-def prefix_number(value: Column) -> Column:
-    """The first seven bytes of a string as a number that keeps their order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
-
-
-def quantised(df: DataFrame, numbers: dict[str, Column], bits: int) -> dict[str, Column]:
-    """Each number's quantile bin, 0 for null; bounds come from one aggregate of fixed size."""
+def string_bounds(scratch: Scratch, df: DataFrame, name: str, bits: int) -> list[str]:
+    """The whole values at which the row counts, cumulated in value order, pass each ``2**bits``-th of all rows."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    ordered = scratch.save(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()), f"values-{name}")
+    before, total = [], 0
+    for p, n in sorted(ordered.groupBy("p").agg(F.sum("n")).collect()):
+        before.append((p, total))
+        total += n
+    if not total:
+        return []
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "p int, before long"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ordered.select("p", "v", "n", upto.alias("upto")).join(offsets, "p").withColumn("upto", F.col("upto") + F.col("before"))
+    least, most = (F.expr(f"({x} << {bits}) div {total}") for x in ("(upto - n)", "upto"))
+    return [r.v for r in placed.where((most > least) & (least + 1 < 1 << bits)).select("v").collect()]
+
+
+def quantised(df: DataFrame, numbers: dict[str, Column], bits: int, strings: dict[str, list[str]]) -> dict[str, Column]:
+    """Each number's or string's quantile bin, 0 for null; bounds of numbers come from one aggregate of fixed size."""
     n = (1 << bits) - 1
     fractions = [k / (n + 1) for k in range(1, n + 1)]
     got = df.agg(*[F.percentile_approx(x, fractions, 1000).alias(name) for name, x in numbers.items()]).first()
     codes = {}
-    for name, x in numbers.items():
-        bounds = sorted(set(got[name] or []))
+    for name, x in ({s: F.col(s) for s in strings} | numbers).items():
+        bounds = sorted(set((strings[name] if name in strings else got[name]) or []))
         codes[name] = F.coalesce(reduce(lambda a, b: a + b, [(x >= b).cast("int") for b in bounds]), F.lit(0)) if bounds else F.lit(0)
     return codes
 
@@ -87,10 +99,10 @@ def hilbert_shards(
     scratch = Scratch(spark, "hilbert")
     text = F.coalesce(F.col(text_column), F.lit(""))
     strings = [c for c in dimensions if c in docs.columns]
-    base = docs.select(F.col(id_column).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), *[prefix_number(F.col(c).cast("string")).alias(f"d{k}") for k, c in enumerate(strings)])
+    base = docs.select(F.col(id_column).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), *[F.col(c).cast("string").alias(f"d{k}") for k, c in enumerate(strings)])
     base = scratch.save(base, "metadata")
-    numbers = {f"d{k}": F.col(f"d{k}") for k in range(len(strings))} | {"size": F.col("size")}
-    codes = quantised(base, numbers, bits)
+    bounds = {f"d{k}": string_bounds(scratch, base, f"d{k}", bits) for k in range(len(strings))}
+    codes = quantised(base, {"size": F.col("size")}, bits, bounds)
     placed = base.select("id", "size", "crc", hilbert_index(list(codes.values()), bits).alias("curve"))
     ordered = placed.repartitionByRange("curve", "crc", F.col("id").asc_nulls_first()).sortWithinPartitions("curve", "crc", F.col("id").asc_nulls_first())
     rows = scratch.save(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")

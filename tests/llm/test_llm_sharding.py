@@ -63,3 +63,13 @@ def test_query(spark, sf):
 def test_plan_is_native(spark, sf):
     plan = op5_hilbert_sharding(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_values_with_one_beginning_fall_apart(spark):
+    """Sources that share their first bytes still shape the curve."""
+    rows = [(k, "same text", "en", f"https://site{k % 16:02d}.example") for k in range(320)]
+    got = hilbert_shards(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shards=4)
+    curves = {}
+    for r in got.collect():
+        curves.setdefault(r.doc_id % 16, set()).add(r.curve)
+    assert all(len(c) == 1 for c in curves.values()) and len(set.union(*curves.values())) > 8
