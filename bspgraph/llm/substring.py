@@ -1,7 +1,8 @@
 """Operator 6: exact removal of repeated passages by Rabin-Karp hashes of every fixed-length word window.
 
 1. Each task cuts its documents into chunks, hashes every window (80 bits) and keeps, per hash, the first window of the
-   chunk; the others are repeats already. This map-side combine bounds what one hash can send: one entry a chunk.
+   chunk; the others are repeats already. Windows that a chunk holds twice are remembered for the task's later chunks, with the
+   smallest id met, so a hot window sends an entry for each task and new minimum and its bucket is no larger than others.
 2. The kept entries (hash, word, id) go, packed and compressed, to buckets of the hash range. There each hash that came from several
    chunks is counted and every entry but that of the smallest id is a repeat.
 3. Repeats return to their chunk, where the windows of each document merge into maximal removal intervals.
@@ -15,11 +16,15 @@ some 30 GB of text and tends to one small row a window in the far end of many te
 Cases: null and empty texts and texts shorter than a window lose nothing; a null id counts as one id before all others; rows
 that share an id are judged each, none being a repeat of another; an empty table gives an empty result; all other columns, whatever
 their names, pass through ``remove_repeats`` unread.
+
+Windows count as equal if two hashes, of 64 and 16 bits, are: among n different windows some n * n / 2 ** 81 pairs are taken for
+equal by chance (1e-5 at 30 GB of text). Tasks that are repeated must meet their rows in the same order, as scans do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bspgraph.llm.textops import Words, chunks, mix
+from bspgraph.llm.textops import Words, chunks, mix, trim
 
 NO_ID = -(2**63)
 SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -77,26 +82,32 @@ def unpack_numbers(blob: bytes) -> np.ndarray:
     return np.cumsum(_from_planes(memoryview(zstandard.decompress(blob[4:])), int.from_bytes(blob[:4], "little"), np.uint32), dtype=np.uint32).astype(np.int64)
 
 
-def chunk_entries(batch: pa.RecordBatch, window: int):
-    """Of one chunk (id, text hash, text): its name and document table, its first windows as (hash, extra, word), its repeats."""
+def chunk_entries(batch: pa.RecordBatch, window: int, seen: "Seen | None" = None):
+    """Of one chunk (id, text hash, text): its name and document table, its first windows as (hash, extra, word, id), its repeats.
+
+    ``seen`` holds what earlier chunks of the task had often: a window that it knows from a smaller id is a repeat at once.
+    """
     ids = batch.column(0).to_numpy(zero_copy_only=False)
     key = batch.column(1).to_numpy(zero_copy_only=False)
     order = np.lexsort((key, ids))
     ids, key, texts = ids[order], key[order], batch.column(2).take(pa.array(order))
     words = Words(texts)
-    word_hash = words.hashes()
-    h, at = words.windows(word_hash, window)
     # Chunks of equal rows get equal names; a sum, so that repeated rows count.
     name = int(mix(mix(ids.view(np.uint64)) + key.view(np.uint64)).sum(dtype=np.uint64)) & (2**63 - 1)
     table = (ids, words.first[:-1], key)
+    word_hash = words.hashes()
+    h, at = words.windows(word_hash, window)
+    doc = words.doc
+    del words, texts
     if not len(h):
         return name, table, None, np.zeros(0, np.int64)
     second = word_hash[: len(word_hash) - window + 1].copy()
     for k in range(1, window):
         second *= SECOND_BASE
         second += word_hash[k : k + len(second)]
+    del word_hash
     extra = (mix(second[at]) >> np.uint64(48)).astype(np.uint16)
-    own = ids[words.doc[at]]
+    del second
     if len(np.unique(ids)) == len(ids):
         by = np.argsort(h, kind="stable")  # equal hashes stay in (id, start) order
         hs, es = h[by], extra[by]
@@ -104,15 +115,19 @@ def chunk_entries(batch: pa.RecordBatch, window: int):
         if ((hs[1:] == hs[:-1]) & (es[1:] != es[:-1])).any():
             by = np.lexsort((at, extra, h))
             hs, es = h[by], extra[by]
-        new = _heads(hs, es)
+        new = group = _heads(hs, es)
     else:  # rows share ids: of the smallest id, each row keeps its first window
-        by = np.lexsort((at, own, extra, h))
-        hs, es, i, row = h[by], extra[by], own[by], words.doc[at][by]
+        by = np.lexsort((at, ids[doc[at]], extra, h))
+        hs, es, i, row = h[by], extra[by], ids[doc[at[by]]], doc[at[by]]
         group = _heads(hs, es)
         new = i == i[_head_of(group)]
         new[1:] &= group[1:] | (row[1:] != row[:-1])
-    kept = by[new]
-    return name, table, (h[kept], extra[kept], at[kept], own[kept]), np.sort(at[by[~new]])
+    del h, extra
+    own = ids[doc[at[by]]]
+    if seen is not None:
+        new = new & ~seen.earlier(hs, es, own)
+        seen.learn(hs, es, own, group)
+    return name, table, (hs[new], es[new], at[by[new]], own[new]), np.sort(at[by[~new]])
 
 
 def _heads(h: np.ndarray, extra: np.ndarray) -> np.ndarray:
@@ -126,48 +141,96 @@ def _head_of(heads: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(heads, np.arange(len(heads)), 0))
 
 
-def _entry_rows(window: int, buckets: int):
+class Seen:
+    """Of windows that some chunk of this task held twice or more: the smallest id met so far, for ``most`` of them.
+
+    A hot window so sends one entry a task and new minimum, not one a chunk. What is forgotten is sent again; results don't change.
+    """
+
+    def __init__(self, most: int = 1 << 17):
+        self.most = most
+        self.h, self.extra, self.ids, self.count = np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def earlier(self, h: np.ndarray, extra: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each of the ascending windows is known from a smaller id."""
+        if not len(self.h):
+            return np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return (self.h[at] == h) & (self.extra[at] == extra) & (self.ids[at] < ids)
+
+    def learn(self, h: np.ndarray, extra: np.ndarray, ids: np.ndarray, heads: np.ndarray) -> None:
+        start = np.flatnonzero(heads)
+        count = np.diff(np.append(start, len(h)))
+        start, count = start[count > 1], count[count > 1]
+        h, extra = np.concatenate([self.h, h[start]]), np.concatenate([self.extra, extra[start]])
+        ids, count = np.concatenate([self.ids, ids[start]]), np.concatenate([self.count, count])
+        by = np.lexsort((ids, extra, h))
+        h, extra, ids, count = h[by], extra[by], ids[by], count[by]
+        first = np.flatnonzero(_heads(h, extra))
+        if len(first):
+            h, extra, ids, count = h[first], extra[first], ids[first], np.add.reduceat(count, first)
+        if len(h) > self.most:  # the most frequent stay, half as many as may be
+            keep = np.sort(np.argpartition(count, len(h) - self.most // 2)[-(self.most // 2) :])
+            h, extra, ids, count = h[keep], extra[keep], ids[keep], count[keep]
+        self.h, self.extra, self.ids, self.count = h, extra, ids, count
+
+
+def _entry_rows(window: int, buckets: int, chunk_bytes: int = 4 << 20):
     def rows(batches):
-        for batch in chunks(batches, 2, 8 << 20):
-            name, table, first, repeats = chunk_entries(batch, window)
+        seen = Seen()
+        for batch in chunks(batches, 2, chunk_bytes):
+            name, table, first, repeats = chunk_entries(batch, window, seen)
             if first is None:
                 continue
             h, extra, at, own = first
             where = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.diff(where, prepend=-1))
-            ends = [*cut[1:], len(h)]
-            blobs = [pack_entries(h[a:b], extra[a:b], at[a:b], own[a:b]) for a, b in zip(cut, ends, strict=True)]
+            blobs = [pack_entries(h[a:b], extra[a:b], at[a:b], own[a:b]) for a, b in itertools.pairwise([*cut, len(h)])]
             # One more row for the chunk itself: its documents and its repeats so far.
             keys, docs = [*where[cut].tolist(), name % buckets], [None] * len(cut) + [pack_docs(*table)]
             blobs.append(pack_numbers(repeats))
+            del first, h, extra, at, own, where, table, repeats, batch
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "docs", "entries"])
+        trim()
 
     return rows
 
 
 def _later(table: pa.Table) -> pa.Table:
     """Of one bucket: the entries of each chunk whose window stands in a document of smaller id; known repeats pass through."""
-    names, docs, blobs = (table[c].to_pylist() for c in ("chunk", "docs", "entries"))
-    out: list[tuple[int, bytes | None, bytes]] = [(names[k], x, blobs[k]) for k, x in enumerate(docs) if x is not None]
-    mine = [k for k, x in enumerate(docs) if x is None]
-    parts = [unpack_entries(blobs[k]) for k in mine]
-    if parts:
-        h, extra, at, ids = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        ends = np.cumsum([len(p[0]) for p in parts])
-        del parts
+    names = table["chunk"].to_pylist()
+    own = table["docs"].is_null().to_pylist()
+    blobs = [x.as_buffer() for x in table["entries"]]
+    out: list[tuple[int, bytes | None, bytes]] = [(names[k], x.as_py(), blobs[k].to_pybytes()) for k, x in enumerate(table["docs"]) if not own[k]]
+    mine = [k for k, x in enumerate(own) if x]
+    n = np.array([int.from_bytes(memoryview(blobs[k])[:4], "little") for k in mine], np.int64)
+    ends = np.cumsum(n)
+    size = int(n.sum())
+    h, extra, at, ids = np.empty(size, np.uint64), np.empty(size, np.uint16), np.empty(size, np.uint32), np.empty(size, np.int64)
+    for k, a, b in zip(mine, ends - n, ends, strict=True):
+        h[a:b], extra[a:b], at[a:b], ids[a:b] = unpack_entries(memoryview(blobs[k]))
+    if size:
         by = np.argsort(h)
-        same = h[by[1:]] == h[by[:-1]]
-        twice = np.zeros(len(by), bool)
+        hs = h[by]
+        same = hs[1:] == hs[:-1]
+        del hs
+        twice = np.zeros(size, bool)
         twice[1:] |= same
         twice[:-1] |= same
         pick = by[twice]
+        del by, same, twice
         pick = pick[np.lexsort((ids[pick], extra[pick], h[pick]))]
         if len(pick):
             i = ids[pick]
             pick = pick[i != i[_head_of(_heads(h[pick], extra[pick]))]]
             source, at = np.searchsorted(ends, pick, side="right"), at[pick]
-            for s in np.unique(source):
-                out.append((names[mine[s]], None, pack_numbers(np.sort(at[source == s]))))
+            by = np.lexsort((at, source))
+            source, at = source[by], at[by]
+            cut = np.flatnonzero(np.diff(source, prepend=-1))
+            for a, b in itertools.pairwise([*cut, len(source)]):
+                out.append((names[mine[source[a]]], None, pack_numbers(at[a:b])))
+    del h, extra, ids, blobs
+    trim()
     return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), "docs": pa.array([x[1] for x in out], pa.binary()), "words": pa.array([x[2] for x in out], pa.binary())})
 
 
@@ -191,15 +254,23 @@ def _spans(window: int):
     return spans
 
 
-def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column: str, text_column: str, bucket_bytes: int = 12 << 20) -> DataFrame:
-    """(k_id, k_text, spans): removal intervals in words of each affected (id, hash of text)."""
-    total = docs.agg(F.sum(F.octet_length(text_column).cast("long")).alias("n")).first()["n"] or 0
+def text_bytes(docs: DataFrame, text_column: str) -> int:
+    return docs.agg(F.sum(F.octet_length(text_column).cast("long")).alias("n")).first()["n"] or 0
+
+
+def few_files(spark: SparkSession, df: DataFrame, total: int, each: int = 8 << 20) -> DataFrame:
+    """``df``, made from ``total`` bytes of text, in no more partitions than that text is worth: each one written is a file."""
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-total // each)))
+
+
+def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column: str, text_column: str, total: int, bucket_bytes: int = 12 << 20) -> DataFrame:
+    """(k_id, k_text, spans): removal intervals in words of each affected (id, hash of text); ``total`` is the bytes of all texts."""
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text_column).alias("k"), F.coalesce(text_column, F.lit("")).alias("t"))
     entries = keyed.mapInArrow(_entry_rows(window, buckets), "bucket long, chunk long, docs binary, entries binary")
     late = entries.groupBy("bucket").applyInArrow(_later, "chunk long, docs binary, words binary")
     spans = late.groupBy("chunk").applyInArrow(_spans(window), "k_id long, k_text long, spans array<int>")
-    return spans.dropDuplicates(["k_id", "k_text"])
+    return few_files(spark, spans.dropDuplicates(["k_id", "k_text"]), total)
 
 
 def _split(spark, docs, window, id_column, text_column, columns):
@@ -207,11 +278,13 @@ def _split(spark, docs, window, id_column, text_column, columns):
     from bspgraph.llm.bloom import bloom, with_maybe
     from bspgraph.llm.shared import Scratch
 
-    spans = Scratch(spark, "substring").save(repeated_spans(spark, docs, window, id_column, text_column), "spans")
+    total = text_bytes(docs, text_column)
+    spans = Scratch(spark, "substring").save(repeated_spans(spark, docs, window, id_column, text_column, total), "spans")
     left = docs.select(*columns, F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(text_column).alias("k_text"))
     marked = with_maybe(left, bloom(spans, F.xxhash64("k_id", "k_text")), F.xxhash64("k_id", "k_text"))
     joined = marked.where("_maybe").join(spans, ["k_id", "k_text"], "left").drop("k_id", "k_text", "_maybe")
-    return joined, marked.where("NOT _maybe").drop("k_id", "k_text", "_maybe").withColumn("spans", F.lit(None).cast("array<int>"))
+    whole = marked.where("NOT _maybe").drop("k_id", "k_text", "_maybe").withColumn("spans", F.lit(None).cast("array<int>"))
+    return few_files(spark, joined, total), few_files(spark, whole, total)
 
 
 def kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -251,6 +324,7 @@ def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
                 gone.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
+        trim()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return cut.mapInArrow(digest, schema).unionByName(whole.mapInArrow(digest, schema)).withColumnRenamed("id", id_column)

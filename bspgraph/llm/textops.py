@@ -5,6 +5,8 @@ Words are maximal runs of bytes outside ``\\x20\\x09-\\x0D``; UTF-8 never puts t
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +51,18 @@ def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+@functools.cache
+def _c_library():
+    return ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back: a Python worker lives on after its task, beside those of later operators."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c_library(), "malloc_trim"):
+        _c_library().malloc_trim(0)
+
+
 class Words:
     """Word bounds of many documents: ``start``/``end`` byte positions and ``doc`` of each word, ``first`` word of each document."""
 
