@@ -3,11 +3,12 @@
 Compilation starts from one state that loops on every byte and applies the merges in order. The gadget of merge
 ``(u, v) -> t`` at time ``k`` splits the state that ``u`` leads to: its copy loses the arc ``v``, and every state that has an
 arc ``u`` at that time gains an arc ``t`` to the state ``v`` leads to. All arcs of one label always lead to one state, so a
-state is named by the label that enters it, and after all merges a word has exactly one path. The arcs of 50,000 states are
-kept as what the gadgets added and removed: token ``y`` is an arc of the state of ``x`` unless some gadget removed a token of
-``y``'s left spine from a state on ``x``'s right spine while both stood. Arcs are resolved once and then read from a table.
+state is named by the label that enters it, and after all merges a word has exactly one path. Token ``y`` is an arc of the state of
+``x`` unless some gadget removed a token of ``y``'s left spine from a state on ``x``'s right spine while both stood. Labels are
+numbered so that what one gadget removes is a run of arcs from a run of states. After the last gadget the whole transition table is
+laid out once, a row of sorted runs for each state (some 50,000 states, below a million runs); nothing is resolved later.
 
-Encoding follows arcs over the bytes of a pre-token; decoding emits the labels of the arcs.
+Encoding drives the table over the bytes of a pre-token in one pass without going back; decoding emits the labels of the arcs.
 
 Cases: null and empty texts have no tokens and decode to the empty text; special strings in a text are one arc each, as in the
 library; repeated rows are encoded each; an empty table gives an empty result; other columns are ignored.
@@ -15,11 +16,14 @@ library; repeated rows are encoded each; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
 import json
+from array import array
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +32,6 @@ from pyspark.sql import types as T
 from bspgraph.llm.pretokens import BytePretokens, special_tokens
 from bspgraph.llm.textops import chunks
 
-NEVER = 1 << 60
-
 
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
@@ -40,6 +42,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class BpeAutomaton:
+    """``row``, ``low``, ``high``: the table. State ``x`` lacks the arcs whose place lies in one of its spans, entries ``row[x]`` to ``row[x + 1]``."""
+
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], special: dict[str, int]):
         letters = byte_letters()
         self.special = special
@@ -51,7 +55,7 @@ class BpeAutomaton:
         self.cut: dict[tuple[int, int], int] = {}
         for k, (a, b) in enumerate(merges):
             u, v, t = vocab[a], vocab[b], vocab[a + b]
-            if not self._arc(u, v, k):
+            if not self._stands(u, v, k):
                 continue  # no state of u has that arc any more: the gadget would change nothing
             if t in self.made:
                 raise ValueError(f"two gadgets make {a + b!r}")
@@ -59,9 +63,8 @@ class BpeAutomaton:
             self.cut[u, v] = k
         single = {i: x for i, x in self.label.items() if len(x) == 1}
         self.arcs = {x: i for i, x in self.label.items() if (i in self.made or i in single) and i not in special.values()}
-        #: proper prefixes of labels: reading stops where no label goes on
-        self.more = {x[:k] for x in self.arcs for k in range(1, len(x))}
-        self._table: dict[int, bool] = {}
+        self._compile_states()
+        self._compile_labels()
 
     def _spine(self, token: int, side: int, now: int) -> list[tuple[int, int]]:
         """(token, time its parent was made) down one side."""
@@ -72,8 +75,8 @@ class BpeAutomaton:
                 return out
             until, token = self.made[token][0], self.made[token][side]
 
-    def _arc(self, x: int, y: int, now: int = NEVER) -> bool:
-        """Whether the state of ``x`` has arc ``y`` at time ``now``. Of equal merges the left one goes first."""
+    def _stands(self, x: int, y: int, now: int) -> bool:
+        """Whether the state of ``x`` has arc ``y`` when gadget ``now`` is built. Of equal merges the left one goes first."""
         right, left = self._spine(x, 2, now), self._spine(y, 1, now)
         for a, a_until in right:
             for b, b_until in left:
@@ -82,47 +85,106 @@ class BpeAutomaton:
                     return False
         return True
 
+    def _places(self, side: int) -> tuple[dict[int, int], dict[int, tuple[list[int], list[int]]]]:
+        """Numbers of the labels such that all that a gadget touches are neighbours, and each label's parts: (times, first numbers).
+
+        A label comes after the labels that it ends (side 2) or begins (side 1), which follow each other by the time they were made.
+        """
+        labels = sorted(self.arcs.values(), key=lambda t: self.made[t][0] if t in self.made else -1)
+        size = dict.fromkeys(labels, 1)
+        for t in reversed(labels):
+            if t in self.made:
+                size[self.made[t][side]] += size[t]
+        place, free, parts, at = {}, {}, {}, 0
+        for t in labels:
+            if t in self.made:
+                time, part = self.made[t][0], self.made[t][side]
+                free[t], free[part] = free[part], free[part] + size[t]
+                times, firsts = parts.setdefault(part, ([], []))
+                times.append(time)
+                firsts.append(free[t])
+            else:
+                free[t], at = at, at + size[t]
+            place[t] = free[t] + size[t] - 1
+        return place, parts
+
+    def _compile_states(self) -> None:
+        """Resolve what all gadgets have cut into one table of rows.
+
+        The gadget of ``(u, v)`` at time ``k`` takes arc ``v`` and all arcs begun by ``v`` since then from the state of ``u`` and those
+        of all labels ended by ``u`` since then: a run of states, and the same run of arcs in each.
+        """
+        state, states = self._places(2)
+        arc, arcs = self._places(1)
+        runs = np.empty((len(self.cut), 4), np.int64)
+        for n, ((u, v), k) in enumerate(self.cut.items()):
+            first, begun = state[u], arc[v]
+            if u in states and (i := bisect.bisect_right(states[u][0], k)) < len(states[u][0]):
+                first = states[u][1][i]
+            if v in arcs and (i := bisect.bisect_left(arcs[v][0], k)) < len(arcs[v][0]):
+                begun = arcs[v][1][i]
+            runs[n] = first, state[u] + 1, begun, arc[v]
+        count = runs[:, 1] - runs[:, 0]
+        own = np.repeat(runs[:, 0] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        low, high = np.repeat(runs[:, 2], count), np.repeat(runs[:, 3], count)
+        by = np.lexsort((low, own))
+        own, low, high = own[by], low[by], high[by]
+        # Spans that touch become one. Rows are kept apart by a step larger than any place.
+        step = len(arc) + 1
+        reach = np.maximum.accumulate(own * step + high)
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (own[1:] * step + low[1:] > reach[:-1] + 1)
+        heads = np.flatnonzero(new)
+        tails = np.append(heads[1:], len(own))[: len(heads)] - 1
+        self.low, self.high = array("i", low[heads].astype(np.int32).tobytes()), array("i", (reach[tails] - own[tails] * step).astype(np.int32).tobytes())
+        self.row = array("i", np.searchsorted(own[heads], np.arange(len(state) + 1)).astype(np.int32).tobytes())
+        self.state, self.arc = state, arc
+
+    def _compile_labels(self) -> None:
+        """``goes``: (node, byte) -> node of the tree of labels, numbered from 0, the root; ``ends``: node -> label that ends there."""
+        self.goes: dict[int, int] = {}
+        self.ends: list[int] = [-1]
+        for x, t in self.arcs.items():
+            node = 0
+            for byte in x:
+                node = self.goes.setdefault(node << 8 | byte, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = t
+
     def step(self, x: int, y: int) -> bool:
-        key = x << 32 | y
-        known = self._table.get(key)
-        if known is None:
-            if len(self._table) > 300_000:
-                self._table.clear()
-            known = self._table[key] = self._arc(x, y)
-        return known
+        """Whether the state of ``x`` has arc ``y``: one look into its row."""
+        row, place = self.state[x], self.arc[y]
+        first = self.row[row]
+        k = bisect.bisect_right(self.low, place, first, self.row[row + 1]) - 1
+        return k < first or self.high[k] < place
 
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """Tokens of one pre-token."""
+        """Tokens of one pre-token.
+
+        Every prefix of a word has one path, so each byte position has one state. One pass over the bytes sets them all: from the
+        state of a position run the arcs that the state's row allows, and no other arc reaches where one of them ends.
+        """
         whole = self.arcs.get(word)
         if whole is not None:
             return (whole,)
-        n, dead, path = len(word), set(), []
-        at, last, ways = 0, None, self._ways(word, 0)
-        while True:
-            while ways:
-                to, y = ways.pop()
-                if to not in dead and (last is None or self.step(last, y)):
+        n = len(word)
+        goes, ends, step = self.goes.get, self.ends, self.step
+        into = [-1] * (n + 1)  # the label that enters each position's state
+        for at in range(n):
+            last, node = into[at], 0
+            for to in range(at, n):
+                node = goes(node << 8 | word[to])
+                if node is None:
                     break
-            else:  # no arc leads on: a position has one state only, so it's dead on every path
-                dead.add(at)
-                at, last, ways, _ = path.pop()
-                continue
-            path.append((at, last, ways, y))
-            if to == n:
-                return tuple(p[3] for p in path)
-            at, last, ways = to, y, self._ways(word, to)
-
-    def _ways(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """(end, label) of the labels that the bytes from ``at`` on begin with, the longest last."""
-        arcs, more, out = self.arcs, self.more, []
-        for j in range(at + 1, len(word) + 1):
-            part = word[at:j]
-            y = arcs.get(part)
-            if y is not None:
-                out.append((j, y))
-            if part not in more:
-                break
-        return out
+                y = ends[node]
+                if y >= 0 and into[to + 1] < 0 and (last < 0 or step(last, y)):
+                    into[to + 1] = y
+        path, label = [], self.label
+        while n:
+            path.append(into[n])
+            n -= len(label[into[n]])
+        return tuple(reversed(path))
 
     def decode(self, ids) -> str:
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
