@@ -47,7 +47,7 @@ def test_counts_do_not_depend_on_the_tiers(spark, tokenizer):
     rows = [(k, f"word{k} " * (k % 7) + "common text") for k in range(300)]
     docs = documents(spark, rows)
     wide = collected(token_counts(spark, docs, path), "doc_id", "n_tokens")
-    assert wide == collected(token_counts(spark, docs, path, table_size=1, cache_size=2, sample_rows=1), "doc_id", "n_tokens")
+    assert wide == collected(token_counts(spark, docs, path, table_size=1, cache_size=2), "doc_id", "n_tokens")
 
 
 def test_empty_tables(spark, tokenizer):
