@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bspgraph.llm.pretokens import BytePretokens, special_tokens
-from bspgraph.llm.textops import chunks
+from bspgraph.llm.textops import chunks, trim, trimmed
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,6 +65,8 @@ class BpeAutomaton:
         self.arcs = {x: i for i, x in self.label.items() if (i in self.made or i in single) and i not in special.values()}
         self._compile_states()
         self._compile_labels()
+        del self.cut
+        trim()
 
     def _spine(self, token: int, side: int, now: int) -> list[tuple[int, int]]:
         """(token, time its parent was made) down one side."""
@@ -169,17 +171,25 @@ class BpeAutomaton:
         if whole is not None:
             return (whole,)
         n = len(word)
-        goes, ends, step = self.goes.get, self.ends, self.step
+        goes, ends, row, low, high, state, arc = self.goes.get, self.ends, self.row, self.low, self.high, self.state, self.arc
         into = [-1] * (n + 1)  # the label that enters each position's state
         for at in range(n):
-            last, node = into[at], 0
+            # The start has every arc; ``step``, written out, tells which ones another state has.
+            first = stop = 0
+            if at:
+                own = state[into[at]]
+                first, stop = row[own], row[own + 1]
+            node = 0
             for to in range(at, n):
                 node = goes(node << 8 | word[to])
                 if node is None:
                     break
                 y = ends[node]
-                if y >= 0 and into[to + 1] < 0 and (last < 0 or step(last, y)):
-                    into[to + 1] = y
+                if y >= 0 and into[to + 1] < 0:
+                    place = arc[y]
+                    k = bisect.bisect_right(low, place, first, stop) - 1
+                    if k < first or high[k] < place:
+                        into[to + 1] = y
         path, label = [], self.label
         while n:
             path.append(into[n])
@@ -225,7 +235,7 @@ class WordCache(dict):
 class Encoder:
     """Texts to ids, with a bounded cache of words."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         self.auto, self.split = automaton(path), BytePretokens(path).split
         self.words = WordCache(self.auto, cache_size)
 
@@ -247,7 +257,7 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(x) if x else [] for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "ids"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(encode, schema).withColumnRenamed("id", id_column)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(trimmed(encode), schema).withColumnRenamed("id", id_column)
 
 
 def bpe_decode(spark: SparkSession, tokens: DataFrame, tokenizer: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
@@ -258,7 +268,7 @@ def bpe_decode(spark: SparkSession, tokens: DataFrame, tokenizer: str, id_column
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([text(x or ()) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     schema = T.StructType([T.StructField("id", tokens.schema[id_column].dataType), T.StructField("text", T.StringType())])
-    return tokens.select(F.col(id_column).alias("id"), F.col(ids_column).alias("ids")).mapInArrow(decode, schema).withColumnRenamed("id", id_column)
+    return tokens.select(F.col(id_column).alias("id"), F.col(ids_column).alias("ids")).mapInArrow(trimmed(decode), schema).withColumnRenamed("id", id_column)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -278,4 +288,4 @@ def bpe_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, id_colu
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(both, schema).withColumnRenamed("id", id_column)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(trimmed(both), schema).withColumnRenamed("id", id_column)
