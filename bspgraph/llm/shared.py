@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset a temporary one is set in local mode (tests), and elsewhere it's an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not context._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="bspgraph-")
             context.setCheckpointDir(root)
