@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
-from bspgraph.llm.textops import chunks
+from bspgraph.llm.textops import chunks, trimmed
 
 WIDTH = 64
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -135,7 +135,7 @@ def write_media(spark: SparkSession, docs: DataFrame, root: str, id_column: str
         out.close()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *(T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("digest", T.StringType()), ("shard", T.StringType()), ("offset", T.LongType()), ("length", T.LongType())))])
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(rows, schema)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(trimmed(rows), schema)
 
 
 def by_shard(rows: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def media_metadata(rows: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "width", "height", "bit_depth"])
 
     schema = T.StructType([*rows.schema.fields, *(T.StructField(n, T.LongType()) for n in ("width", "height", "bit_depth"))])
-    return by_shard(rows).mapInArrow(read, schema)
+    return by_shard(rows).mapInArrow(trimmed(read), schema)
 
 
 def media_features(rows: DataFrame, root: str) -> DataFrame:
@@ -204,7 +204,7 @@ def media_features(rows: DataFrame, root: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     new = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
-    return by_shard(rows).mapInArrow(read, T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in new)]))
+    return by_shard(rows).mapInArrow(trimmed(read), T.StructType([*rows.schema.fields, *(T.StructField(n, t) for n, t in new)]))
 
 
 def media_columns(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", root: str | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from bspgraph.llm.bloom import bloom, with_maybe
 from bspgraph.llm.components import connected_components
 from bspgraph.llm.shared import Scratch
-from bspgraph.llm.textops import Words, chunks, mix
+from bspgraph.llm.textops import Words, chunks, mix, trimmed
 
 TOKENS = 64
 _rng = np.random.default_rng(20_24)
@@ -280,7 +280,7 @@ class _Join:
         self.scratch = Scratch(spark, "neardup")
         self.source = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("key"))
         sketch = "id long, key long, n_shingles long, digest binary, paths array<array<long>>, sketch binary"
-        self.sketches = self.scratch.save(self.source.mapInArrow(_sketches(size, trees, self.similarity, levels), sketch), "sketches")
+        self.sketches = self.scratch.save(self.source.mapInArrow(trimmed(_sketches(size, trees, self.similarity, levels)), sketch), "sketches")
         self.classes = self.scratch.save(
             self.sketches.where("n_shingles > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("keep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch")), "classes"
         )
@@ -335,18 +335,18 @@ class _Join:
                 sets = shingle_sets(batch.column(0).fill_null(""), size)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in sets], pa.binary()), pa.array([pack_set(x) for x in sets], pa.binary())], ["digest", "set"])
 
-        return marked.mapInArrow(rows, "digest binary, set binary")
+        return marked.mapInArrow(trimmed(rows), "digest binary, set binary")
 
     def compare(self, blocks: DataFrame) -> None:
         """Compare (block, digest, root, outside) rows and fold the links found into the components."""
         least = math.floor(TOKENS * self.similarity - 5 * math.sqrt(TOKENS * self.similarity * (1 - self.similarity)))
         rows = blocks.join(self.classes.select("digest", "sketch"), "digest").select("block", "digest", "root", "outside", "sketch")
-        groups = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(least), "block long, digest binary, root binary, outside boolean")
+        groups = rows.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_candidates(least)), "block long, digest binary, root binary, outside boolean")
         groups = self.scratch.save(groups.dropDuplicates(["block", "digest"]), "groups")
         if groups.isEmpty():
             return
         rows = groups.join(self.sets(groups.select("digest").distinct()), "digest").select("block", "digest", "root", "outside", "set")
-        found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(_compare(self.percent), "a binary, b binary")
+        found = rows.repartition("block").sortWithinPartitions("block").mapInArrow(trimmed(_compare(self.percent)), "a binary, b binary")
         found = self.scratch.save(found.distinct(), "links")
         self.scratch.drop(groups)
         if found.isEmpty():

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bspgraph.llm.textops import Words, chunks, mix, trim
+from bspgraph.llm.textops import Words, chunks, mix, trim, trimmed
 
 NO_ID = -(2**63)
 SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -191,7 +191,6 @@ def _entry_rows(window: int, buckets: int, chunk_bytes: int = 4 << 20):
             blobs.append(pack_numbers(repeats))
             del first, h, extra, at, own, where, table, repeats, batch
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([name] * len(keys), pa.int64()), pa.array(docs, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "chunk", "docs", "entries"])
-        trim()
 
     return rows
 
@@ -267,7 +266,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column:
     """(k_id, k_text, spans): removal intervals in words of each affected (id, hash of text); ``total`` is the bytes of all texts."""
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("i"), F.xxhash64(text_column).alias("k"), F.coalesce(text_column, F.lit("")).alias("t"))
-    entries = keyed.mapInArrow(_entry_rows(window, buckets), "bucket long, chunk long, docs binary, entries binary")
+    entries = keyed.mapInArrow(trimmed(_entry_rows(window, buckets)), "bucket long, chunk long, docs binary, entries binary")
     late = entries.groupBy("bucket").applyInArrow(_later, "chunk long, docs binary, words binary")
     spans = late.groupBy("chunk").applyInArrow(_spans(window), "k_id long, k_text long, spans array<int>")
     return few_files(spark, spans.dropDuplicates(["k_id", "k_text"]), total)
@@ -324,10 +323,9 @@ def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
                 gone.append(total - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
-        trim()
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return cut.mapInArrow(digest, schema).unionByName(whole.mapInArrow(digest, schema)).withColumnRenamed("id", id_column)
+    return cut.mapInArrow(trimmed(digest), schema).unionByName(whole.mapInArrow(trimmed(digest), schema)).withColumnRenamed("id", id_column)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -63,6 +63,16 @@ def trim() -> None:
         _c_library().malloc_trim(0)
 
 
+def trimmed(rows):
+    """``rows``, a function of batches, that leaves no freed memory behind when it ends."""
+
+    def out(batches):
+        yield from rows(batches)
+        trim()
+
+    return out
+
+
 class Words:
     """Word bounds of many documents: ``start``/``end`` byte positions and ``doc`` of each word, ``first`` word of each document."""
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from bspgraph.llm.pretokens import CASELESS_WORDS, ODD, library, special_tokens
 from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
-from bspgraph.llm.textops import chunks
+from bspgraph.llm.textops import chunks, trimmed
 
 SKIPPABLE, IDS_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 NO_ID = -(2**63)
@@ -166,7 +166,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer
 
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("h"))
     ordered = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
-    return Scratch(spark, "token-files").save(ordered.mapInArrow(write, "part long, file string, documents long, ids long"), "files")
+    return Scratch(spark, "token-files").save(ordered.mapInArrow(trimmed(write), "part long, file string, documents long, ids long"), "files")
 
 
 def read_token_files(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
@@ -188,7 +188,7 @@ def read_token_files(spark: SparkSession, files: DataFrame, root: str) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(held.ids, mask=held.ids == NO_ID), pa.array(starts), pa.array(n), pa.array(crc)], ["id", "start", "n_tokens", "ids_crc32"])
 
     work = spark.createDataFrame(jobs, "part long, file string, start long").repartition(max(1, len(jobs)), "part")
-    return work.mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return work.mapInArrow(trimmed(read), "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", root: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bspgraph.llm.shared import Scratch
-from bspgraph.llm.textops import BYTE_MIX, LOWER, WORD_BASE, Words, chunks, mix, powers
+from bspgraph.llm.textops import BYTE_MIX, LOWER, WORD_BASE, Words, chunks, mix, powers, trimmed
 
 #: Groups of identity terms; a counterfactual swaps a term for the others of its group.
 IDENTITY_GROUPS: tuple[tuple[str, ...], ...] = (
@@ -180,7 +180,7 @@ def train(
         share = toxic / n if n else 0.0
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     share = toxic / n
-    counts = sample.mapInArrow(_statistics, "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("n >= 4")
+    counts = sample.mapInArrow(trimmed(_statistics), "feature long, toxic long, n long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).where("n >= 4")
     z = F.abs(F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)) + 1)
     best = counts.select("feature", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(most_features).collect()
     terms = {t: term_features(t) for g in groups for t in g}
@@ -206,7 +206,7 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, model: ToxicityModel,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held.value.scores(batch.column(1).fill_null("")))], ["id", "score"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("score", T.DoubleType())])
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(rows, schema).withColumnRenamed("id", id_column)
+    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(trimmed(rows), schema).withColumnRenamed("id", id_column)
 
 
 def held_out(id_column: str = "doc_id"):
