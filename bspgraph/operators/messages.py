@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Combiner = Callable[[Column], Column]
+#: Messages of one partition that a ``Fold`` takes together; a power of two.
+RUN = 4096
 
 
-def fold(step: Callable[[Column, Column], Column]) -> Combiner:
+@dataclass(frozen=True)
+class Fold:
     """A combiner from any associative and commutative binary step; prefer built-in aggregates, which combine before the shuffle."""
-    def combine(message: Column) -> Column:
+
+    step: Callable[[Column, Column], Column]
+
+    def __call__(self, message: Column) -> Column:
         held = F.collect_list(message)
-        return F.aggregate(F.slice(held, 2, F.size(held)), held[0], step)
+        return F.aggregate(F.slice(held, 2, F.size(held)), held[0], self.step)
 
-    return combine
+
+def fold(step: Callable[[Column, Column], Column]) -> Fold:
+    return Fold(step)
 
 
 COMBINERS: dict[str, Combiner] = {"min": F.min, "max": F.max, "sum": F.sum, "and": F.bool_and, "or": F.bool_or}
@@ -29,7 +38,13 @@ def send_along_edges(senders: DataFrame, edges: DataFrame, message: Column) -> D
 
 
 def combine(messages: DataFrame, combiner: Combiner) -> DataFrame:
-    """One message per target. Catalyst splits the aggregate into a sender-side and a receiver-side part."""
+    """One message per target. Catalyst splits the aggregate into a sender-side and a receiver-side part.
+
+    A ``Fold`` has no such parts: its messages are folded in runs of ``RUN`` at most first, so that no row holds all those of a hot target.
+    """
+    if isinstance(combiner, Fold):
+        run = F.call_function("shiftright", F.monotonically_increasing_id(), F.lit(RUN.bit_length() - 1))
+        messages = messages.withColumn("_run", run).groupBy("to", "_run").agg(combiner(F.col("msg")).alias("msg"))
     return messages.groupBy("to").agg(combiner(F.col("msg")).alias("msg"))
 
 

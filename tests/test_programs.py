@@ -193,3 +193,22 @@ def test_prune(spark):
     g = graph(spark, [("a", "b", 1), ("b", "a", 1), ("c", "a", 1), ("d", "c", 1)])
     run = run_program(spark, g, program("Prune", {"k": 1, "rounds": 3}), strict=False)
     assert {r["id"] for r in run.vertices.collect()} == {"a", "b"}
+
+
+def test_fold_of_a_hot_target_is_bounded(spark):
+    """No row holds more of a target's messages than a run, and the result doesn't depend on how they are dealt."""
+    m = spark.range(0, 30_000, 1, 5).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 100)).alias("to"), F.col("id").alias("msg"))
+    want = {}
+    for k in range(30_000):
+        to = "hot" if k % 10 < 9 else f"t{k % 100}"
+        want[to] = want.get(to, 0) ^ k
+    step = fold(lambda a, b: a.bitwiseXOR(b))
+    for n in (1, 7):
+        assert {r["to"]: r["msg"] for r in combine(m.repartition(n), step).collect()} == want
+    runs = m.groupBy("to", F.shiftright(F.monotonically_increasing_id(), 12)).count()
+    assert runs.agg(F.max("count")).first()[0] <= 4096
+
+
+def test_path_length_overflow_is_an_error(spark):
+    with pytest.raises(Exception, match="(?i)overflow"):
+        shortest(spark, graph(spark, [("a", "b", 2**63 - 1), ("b", "c", 1)]), "a", "c")
