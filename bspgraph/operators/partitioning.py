@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
@@ -72,3 +72,23 @@ def scan_range(df: DataFrame, key: str, wanted: TokenRange) -> DataFrame:
 def dealt(df: DataFrame, key: str, rows: int, task_vertices: int) -> DataFrame:
     """``df`` hash-partitioned by ``key`` into as many tasks as its rows need."""
     return df.repartition(partition_count(rows, task_vertices), key)
+
+
+def range_table(spark: SparkSession, ranges: list[TokenRange]) -> DataFrame:
+    """(range_id, start, end); ids start at 1."""
+    return spark.createDataFrame([(k + 1, r.start, r.end) for k, r in enumerate(ranges)], "range_id bigint, start bigint, end bigint")
+
+
+def located(df: DataFrame, key: str, ranges: list[TokenRange]) -> DataFrame:
+    """``df`` with the ``range_id`` of each row's token among disjoint ``ranges``, NULL outside them. No join: a tree of comparisons."""
+    parts = sorted((a, b, k + 1) for k, r in enumerate(ranges) for a, b in r.parts())
+    at = token(F.col(key))
+
+    def search(low: int, high: int) -> Column:
+        if high - low == 1:
+            start, end, id = parts[low]
+            return F.when((at >= start if start == LOWEST else at > start) & (at <= end), F.lit(id).cast("bigint"))
+        middle = (low + high) // 2
+        return F.when(at <= parts[middle - 1][1], search(low, middle)).otherwise(search(middle, high))
+
+    return df.withColumn("range_id", search(0, len(parts)) if parts else F.lit(None).cast("bigint"))

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from bspgraph.model import PropertyGraph, upsert, with_sources
-from bspgraph.operators.partitioning import HIGHEST, LOWEST, TokenRange, partition_count, ring_ranges, round_half_away, scan_range, split_range
+from bspgraph.operators.partitioning import HIGHEST, LOWEST, TokenRange, located, partition_count, range_table, ring_ranges, round_half_away, scan_range, split_range
 from bspgraph.sources.dimacs import edge_reader, parse_edges, parse_vertices, vertex_reader
 from bspgraph.sources.store import open_store, register_store
 
@@ -107,3 +107,32 @@ def test_ranges(spark):
     assert split_range(TokenRange(0, 9), 10, 0.1, 100) == [TokenRange(0, 9)]
     assert TokenRange(LOWEST, HIGHEST).parts() == [(LOWEST, HIGHEST)]
     assert [round_half_away(x) for x in (2.5, -2.5, 2.4, 0)] == [3, -3, 2, 0] and partition_count(10, 1000) == 1 and partition_count(2500, 1000) == 3
+
+
+def test_located_agrees_with_the_predicates(spark):
+    ids = spark.range(300).select(F.concat(F.lit("v"), "id").alias("id"))
+    for ranges in ([TokenRange(5, 5)], ring_ranges(1), ring_ranges(6), [TokenRange(2**62, -(2**62)), TokenRange(0, 2**61)], []):
+        got = {r["id"]: r["range_id"] for r in located(ids, "id", ranges).collect()}
+        want = dict.fromkeys(got)
+        for k, r in enumerate(ranges):
+            want |= {x["id"]: k + 1 for x in scan_range(ids, "id", r).collect()}
+        assert got == want
+    assert [tuple(r) for r in range_table(spark, ring_ranges(1)).collect()] == [(1, LOWEST, LOWEST)]
+
+
+def test_a_cap_on_files(spark, tmp_path):
+    store = open_store(spark, "Parquet", {"directory": f"{tmp_path}/s", "max_records_per_file": 10})
+    store.save_vertices(spark.range(35).select(F.col("id").cast("string").alias("id"), F.col("id").alias("value")).coalesce(1))
+    files = list((tmp_path / "s/vertices").rglob("*.parquet"))
+    assert len(files) >= 4 and store.row_count("vertices") == 35
+
+
+def test_storage_outside_local_mode_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from bspgraph.storage import shared_root
+
+    context = SimpleNamespace(isLocal=lambda: False, getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: context)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_root(session)
