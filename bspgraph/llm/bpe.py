@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bspgraph.llm.pretokens import BytePretokens, special_tokens
+from bspgraph.llm.shared import bounded_batches
 from bspgraph.llm.textops import chunks, trim, trimmed
 
 
@@ -251,6 +252,8 @@ def encoder(path: str) -> Encoder:
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, ids array<int>) of every whole text."""
+    bounded_batches(spark)
+
     def encode(batches):
         ids = encoder(tokenizer).ids
         for batch in chunks(batches, 1):
@@ -262,6 +265,8 @@ def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column:
 
 def bpe_decode(spark: SparkSession, tokens: DataFrame, tokenizer: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """(id, text) from arrays of ids; a null array gives the empty text."""
+    bounded_batches(spark)
+
     def decode(batches):
         text = automaton(tokenizer).decode
         for batch in batches:
@@ -273,6 +278,8 @@ def bpe_decode(spark: SparkSession, tokens: DataFrame, tokenizer: str, id_column
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass that keeps neither."""
+    bounded_batches(spark)
+
     def both(batches):
         coder, digits = encoder(tokenizer), None
         label = coder.auto.label

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
+from bspgraph.llm.shared import Scratch, bounded_batches, fresh_path, open_filesystem
 from bspgraph.llm.textops import chunks, trimmed
 
 WIDTH = 64
@@ -209,6 +209,7 @@ def media_features(rows: DataFrame, root: str) -> DataFrame:
 
 def media_columns(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", root: str | None = None) -> DataFrame:
     """Write every payload, store the rows, read the payloads back: (id, n_bytes, digest, shard, offset, length, ...)."""
+    bounded_batches(spark)
     root = root or fresh_path(spark, "media")
     rows = Scratch(spark, "media-rows").save(write_media(spark, docs, root, id_column, text_column), "rows")
     return media_features(rows, root).withColumnRenamed("id", id_column)

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from bspgraph.llm.bloom import bloom, with_maybe
 from bspgraph.llm.components import connected_components
-from bspgraph.llm.shared import Scratch
+from bspgraph.llm.shared import Scratch, bounded_batches
 from bspgraph.llm.textops import Words, chunks, mix, trimmed
 
 TOKENS = 64
@@ -274,6 +274,7 @@ class _Join:
 
     def __init__(self, spark, docs, id_column, text_column, size, percent, trees, node_size, levels):
         self.spark, self.size, self.percent, self.node_size, self.levels = spark, size, percent, node_size, levels
+        bounded_batches(spark)
         self.similarity = percent / 100
         # Of documents that meet others side by side: each is repeated once for every block of the other side.
         self.wide = node_size * 10

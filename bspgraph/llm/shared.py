@@ -42,6 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Send texts to Python some megabytes at a time for the rest of the session: a batch counted in rows alone has no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 class Scratch:
     """Named intermediate tables of one operator; each can be dropped once its readers are done."""
 

@@ -275,8 +275,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column:
 def _split(spark, docs, window, id_column, text_column, columns):
     """(rows with spans, rows surely without), each as ``columns``; only rows that may have spans are shuffled."""
     from bspgraph.llm.bloom import bloom, with_maybe
-    from bspgraph.llm.shared import Scratch
+    from bspgraph.llm.shared import Scratch, bounded_batches
 
+    bounded_batches(spark)
     total = text_bytes(docs, text_column)
     spans = Scratch(spark, "substring").save(repeated_spans(spark, docs, window, id_column, text_column, total), "spans")
     left = docs.select(*columns, F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("k_id"), F.xxhash64(text_column).alias("k_text"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bspgraph.llm.pretokens import BytePretokens, library
-from bspgraph.llm.shared import Scratch
+from bspgraph.llm.shared import Scratch, bounded_batches
 from bspgraph.llm.textops import chunks, string_buffers, trimmed
 
 #: Pre-tokens longer than this are encoded without being cached.
@@ -86,6 +86,7 @@ def token_counts(
     limit: int | None = None, table_size: int = 1 << 18, cache_size: int = 400_000,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens[, over_limit]) of every whole text."""
+    bounded_batches(spark)
     table = spark.sparkContext.broadcast(frequent_table(spark, docs, text_column, tokenizer, table_size))
     id_type = docs.schema[id_column].dataType
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bspgraph.llm.pretokens import CASELESS_WORDS, ODD, library, special_tokens
-from bspgraph.llm.shared import Scratch, fresh_path, open_filesystem
+from bspgraph.llm.shared import Scratch, bounded_batches, fresh_path, open_filesystem
 from bspgraph.llm.textops import chunks, trimmed
 
 SKIPPABLE, IDS_FRAME, SEEKABLE = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
@@ -164,6 +164,7 @@ def write_token_files(spark: SparkSession, docs: DataFrame, root: str, tokenizer
             filesystem.move(f"{folder}/_{name}", f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([task.partitionId()], pa.int64()), pa.array([name]), pa.array([len(ids)], pa.int64()), pa.array([sum(e[1] for e in entries) // 4], pa.int64())], ["part", "file", "documents", "ids"])
 
+    bounded_batches(spark)
     keyed = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("h"))
     ordered = keyed.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     return Scratch(spark, "token-files").save(ordered.mapInArrow(trimmed(write), "part long, file string, documents long, ids long"), "files")

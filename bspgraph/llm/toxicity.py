@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bspgraph.llm.shared import Scratch
+from bspgraph.llm.shared import Scratch, bounded_batches
 from bspgraph.llm.textops import BYTE_MIX, LOWER, WORD_BASE, Words, chunks, mix, powers, trimmed
 
 #: Groups of identity terms; a counterfactual swaps a term for the others of its group.
@@ -170,6 +170,7 @@ def train(
     most_features: int = 4096, least_z: float = 4.0, penalty: float = 4.0, ridge: float = 0.3, groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS,
 ) -> ToxicityModel:
     """Fit a model to at most ``train_rows`` of the given labelled rows (the documented bound of the sample)."""
+    bounded_batches(spark)
     scratch = Scratch(spark, "toxicity")
     known = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
     chosen = scratch.save(known.orderBy(F.xxhash64("id"), "id").limit(train_rows), "chosen")
@@ -199,6 +200,7 @@ def train(
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, model: ToxicityModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     def rows(batches):
@@ -216,6 +218,7 @@ def held_out(id_column: str = "doc_id"):
 
 def without_toxic(spark: SparkSession, docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
     """``docs`` without the rows whose text scores ``threshold`` or more."""
+    bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
