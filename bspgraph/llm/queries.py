@@ -100,9 +100,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from bspgraph.llm import decontaminate, neardup, preference, substring
+    from bspgraph.llm import decontaminate, hilbert, neardup, preference, substring
 
     return {
-        "op3_preference_formatting": preference.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE, "op6_substring_dedup": substring.ORACLE,
-        "op7_benchmark_decontamination": decontaminate.ORACLE,
+        "op3_preference_formatting": preference.ORACLE, "op4_minhash_near_dedup": neardup.ORACLE, "op5_hilbert_sharding": hilbert.ORACLE,
+        "op6_substring_dedup": substring.ORACLE, "op7_benchmark_decontamination": decontaminate.ORACLE,
     }

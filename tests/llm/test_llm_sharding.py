@@ -73,3 +73,35 @@ def test_values_with_one_beginning_fall_apart(spark):
     for r in got.collect():
         curves.setdefault(r.doc_id % 16, set()).add(r.curve)
     assert all(len(c) == 1 for c in curves.values()) and len(set.union(*curves.values())) > 8
+
+
+def test_query_against_sql(spark, sf):
+    import duckdb
+
+    from bspgraph.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    df = op5_hilbert_sharding(spark, sf)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op5_hilbert_sharding']})").fetchall()
+    assert got == sorted(want, key=str)
+
+
+def test_sql_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and metadata, repeated rows and fewer rows than shards."""
+    import duckdb
+
+    from bspgraph.llm import queries
+
+    rows = [(None, None), (3, ""), (3, ""), (4, "é ß 漢 🙂"), (5, "x" * 5000)]
+    docs = documents(spark, rows, clashing=False)
+    for k, part in enumerate((docs, docs.where("doc_id = 4"), docs.where("false"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        df = op5_hilbert_sharding(spark, f"{tmp_path}/{k}")
+        columns = sorted(df.columns)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{k}/documents.parquet/*.parquet'")
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()['op5_hilbert_sharding']})").fetchall()
+        assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted(want, key=str)
