@@ -236,7 +236,7 @@ class WordCache(dict):
 class Encoder:
     """Texts to ids, with a bounded cache of words."""
 
-    def __init__(self, path: str, cache_size: int = 300_000):
+    def __init__(self, path: str, cache_size: int = 150_000):
         self.auto, self.split = automaton(path), BytePretokens(path).split
         self.words = WordCache(self.auto, cache_size)
 

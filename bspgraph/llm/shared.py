@@ -42,11 +42,28 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+def bounded_batches(spark: SparkSession, most: int = 1 << 20) -> None:
     """Send texts to Python some megabytes at a time for the rest of the session: a batch counted in rows alone has no bound."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
+def files_for(total: int, each: int, least: int = 1) -> int:
+    return min(max(least, -(-total // each)), 2**31 - 1)
+
+
+def few_files(df: DataFrame, total: int, each: int, least: int | None = None) -> DataFrame:
+    """``df``, made from ``total`` bytes, in no more partitions than one for ``each`` bytes, as each one written is a file.
+
+    Nothing is shuffled, and large inputs, whose partitions hold more, stay as they are. ``least`` is by default two a core.
+    """
+    return df.coalesce(files_for(total, each, 2 * df.sparkSession.sparkContext.defaultParallelism if least is None else least))
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as the planner knows them: no scan."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 class Scratch:
     """Named intermediate tables of one operator; each can be dropped once its readers are done."""
 

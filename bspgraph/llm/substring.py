@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bspgraph.llm.textops import Words, chunks, mix, trim, trimmed
+from bspgraph.llm.bloom import bloom, with_maybe
+from bspgraph.llm.shared import Scratch, bounded_batches, few_files, files_for
+from bspgraph.llm.textops import Words, chunks, gathered, mix, trim, trimmed
 
 NO_ID = -(2**63)
 SECOND_BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -178,7 +180,7 @@ class Seen:
 def _entry_rows(window: int, buckets: int, chunk_bytes: int = 4 << 20):
     def rows(batches):
         seen = Seen()
-        for batch in chunks(batches, 2, chunk_bytes):
+        for batch in chunks(gathered(batches, 2, chunk_bytes), 2, chunk_bytes):
             name, table, first, repeats = chunk_entries(batch, window, seen)
             if first is None:
                 continue
@@ -257,11 +259,6 @@ def text_bytes(docs: DataFrame, text_column: str) -> int:
     return docs.agg(F.sum(F.octet_length(text_column).cast("long")).alias("n")).first()["n"] or 0
 
 
-def few_files(spark: SparkSession, df: DataFrame, total: int, each: int = 8 << 20) -> DataFrame:
-    """``df``, made from ``total`` bytes of text, in no more partitions than that text is worth: each one written is a file."""
-    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-total // each)))
-
-
 def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column: str, text_column: str, total: int, bucket_bytes: int = 12 << 20) -> DataFrame:
     """(k_id, k_text, spans): removal intervals in words of each affected (id, hash of text); ``total`` is the bytes of all texts."""
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
@@ -269,14 +266,11 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, window: int, id_column:
     entries = keyed.mapInArrow(trimmed(_entry_rows(window, buckets)), "bucket long, chunk long, docs binary, entries binary")
     late = entries.groupBy("bucket").applyInArrow(_later, "chunk long, docs binary, words binary")
     spans = late.groupBy("chunk").applyInArrow(_spans(window), "k_id long, k_text long, spans array<int>")
-    return few_files(spark, spans.dropDuplicates(["k_id", "k_text"]), total)
+    return few_files(spans.dropDuplicates(["k_id", "k_text"]), total, 256 << 20, 1)
 
 
 def _split(spark, docs, window, id_column, text_column, columns):
-    """(rows with spans, rows surely without), each as ``columns``; only rows that may have spans are shuffled."""
-    from bspgraph.llm.bloom import bloom, with_maybe
-    from bspgraph.llm.shared import Scratch, bounded_batches
-
+    """(rows with spans, rows surely without, bytes of text), rows as ``columns``; only rows that may have spans are shuffled."""
     bounded_batches(spark)
     total = text_bytes(docs, text_column)
     spans = Scratch(spark, "substring").save(repeated_spans(spark, docs, window, id_column, text_column, total), "spans")
@@ -284,7 +278,7 @@ def _split(spark, docs, window, id_column, text_column, columns):
     marked = with_maybe(left, bloom(spans, F.xxhash64("k_id", "k_text")), F.xxhash64("k_id", "k_text"))
     joined = marked.where("_maybe").join(spans, ["k_id", "k_text"], "left").drop("k_id", "k_text", "_maybe")
     whole = marked.where("NOT _maybe").drop("k_id", "k_text", "_maybe").withColumn("spans", F.lit(None).cast("array<int>"))
-    return few_files(spark, joined, total), few_files(spark, whole, total)
+    return joined, whole, total
 
 
 def kept_words(text: bytes, spans) -> tuple[int, list[bytes]]:
@@ -313,7 +307,7 @@ def cut_spans(text: str, spans) -> str:
 
 def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) of every document."""
-    cut, whole = _split(spark, docs, window, id_column, text_column, [F.col(id_column).alias("id"), F.col(text_column).alias("text")])
+    cut, whole, total = _split(spark, docs, window, id_column, text_column, [F.col(id_column).alias("id"), F.col(text_column).alias("text")])
 
     def digest(batches):
         for batch in chunks(batches, 1):
@@ -326,13 +320,15 @@ def removal_digest(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["id", "n_words", "n_removed", "kept_sha256"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-    return cut.mapInArrow(trimmed(digest), schema).unionByName(whole.mapInArrow(trimmed(digest), schema)).withColumnRenamed("id", id_column)
+    out = cut.mapInArrow(trimmed(digest), schema).unionByName(whole.mapInArrow(trimmed(digest), schema)).withColumnRenamed("id", id_column)
+    # The digests are a few hundredths of the texts: dealt anew, so that as few files come of them.
+    return out.repartition(files_for(total, 256 << 20))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts; rows, columns and their order stay."""
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    cut, whole = _split(spark, docs, window, id_column, text_column, [row])
+    cut, whole, total = _split(spark, docs, window, id_column, text_column, [row])
 
     @F.arrow_udf(T.StringType())
     def removed(text: pa.Array, spans: pa.Array) -> pa.Array:
@@ -340,7 +336,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 20, id_co
 
     text = F.when(F.col("spans").isNull(), F.col("row")[text_column]).otherwise(removed(F.col("row")[text_column], F.col("spans")))
     changed = cut.select(*[(text if c == text_column else F.col("row")[c]).alias(c) for c in docs.columns])
-    return changed.unionByName(whole.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return few_files(changed.unionByName(whole.select(*[F.col("row")[c].alias(c) for c in docs.columns])), total, 64 << 20)
 
 
 #: The query op6 in DuckDB SQL.

@@ -123,6 +123,19 @@ class Words:
         return mix(h[at]), at
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Small record batches put together until their text column has ``least`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the text column of each holds about ``most`` bytes (one long document may exceed it)."""
     for batch in batches:

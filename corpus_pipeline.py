@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from bspgraph.llm.bpe import bpe_encode
 from bspgraph.llm.decontaminate import contamination, small
 from bspgraph.llm.neardup import without_near_duplicates
-from bspgraph.llm.shared import fresh_path, materialize
+from bspgraph.llm.shared import few_files, fresh_path, materialize, stored_bytes
 from bspgraph.llm.substring import remove_repeats
 from bspgraph.llm.toxicity import held_out, train, without_toxic
 
@@ -25,15 +25,20 @@ PASSAGE_WORDS = 50
 BENCHMARK_WORDS = 13
 
 
+def compact(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """A stage's rows in files of no less than 32 MB of its input's."""
+    return few_files(out, stored_bytes(docs), 32 << 20)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.3; the model learns from labelled documents outside the held-out quarter."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
-    return without_toxic(spark, docs, train(spark, docs, labels), threshold=0.3)
+    return compact(docs, without_toxic(spark, docs, train(spark, docs, labels), threshold=0.3))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: shingles of five words, similarity 0.8."""
-    return without_near_duplicates(spark, docs, shingle=5, percent=80)
+    return compact(docs, without_near_duplicates(spark, docs, shingle=5, percent=80))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     leaks = materialize(spark, found.select(F.col("doc_id").alias("leak"), "key").distinct(), "leaks")
     # An id, or a null one, may stand for clean and contaminated rows at once.
     match = docs["doc_id"].eqNullSafe(leaks["leak"]) & (F.xxhash64(docs["text"]) == leaks["key"])
-    return docs.join(small(leaks, leaks.count()), match, "left_anti")
+    return compact(docs, docs.join(small(leaks, leaks.count()), match, "left_anti"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +62,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     out = bpe_encode(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return compact(docs, out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids"))
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("decontaminate", decontaminate), ("encode", encode)]

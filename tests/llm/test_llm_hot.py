@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from llm_fixtures import collected, documents, prose, repeats
 
-from bspgraph.llm.substring import Seen, _entry_rows, few_files, removal_digest, unpack_entries
+from bspgraph.llm.shared import few_files, stored_bytes
+from bspgraph.llm.substring import Seen, _entry_rows, removal_digest, unpack_entries
 from bspgraph.llm.token_counts import frequent_table, token_counts
 
 
@@ -66,10 +67,14 @@ def test_what_is_remembered_is_bounded():
     assert not seen.earlier(seen.h, seen.extra, seen.ids).any()
 
 
-def test_files_follow_the_text(spark):
+def test_files_follow_the_text(spark, tmp_path):
     df = spark.range(1000).repartition(300)
-    assert few_files(spark, df, 100).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
-    assert few_files(spark, df, 1 << 40).rdd.getNumPartitions() == 300
+    assert few_files(df, 100, 64).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert few_files(df, 100, 64, 1).rdd.getNumPartitions() == 2
+    assert few_files(df, 1 << 40, 64).rdd.getNumPartitions() == 300
+    df.coalesce(1).write.parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in tmp_path.glob("t/*.parquet"))
+    assert stored_bytes(spark.read.parquet(f"{tmp_path}/t")) == size
 
 
 def test_frequent_table_counts_the_whole_corpus(spark, tokenizer):
