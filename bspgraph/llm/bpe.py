@@ -144,16 +144,15 @@ class BpeAutomaton:
         self.state, self.arc = state, arc
 
     def _compile_labels(self) -> None:
-        """``goes``: (node, byte) -> node of the tree of labels, numbered from 0, the root; ``ends``: node -> label that ends there."""
-        self.goes: dict[int, int] = {}
-        self.ends: list[int] = [-1]
-        for x, t in self.arcs.items():
-            node = 0
-            for byte in x:
-                node = self.goes.setdefault(node << 8 | byte, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = t
+        """``root``: byte -> (the same for what follows it, the label that ends there or -1)."""
+        self.root: dict[int, tuple[dict, int]] = {}
+        none: dict[int, tuple[dict, int]] = {}
+        for x, t in sorted(self.arcs.items(), key=lambda a: -len(a[0])):  # a longer label has made the way for those that begin it
+            node = self.root
+            for byte in x[:-1]:
+                follow, _ = node.setdefault(byte, ({}, -1))
+                node = follow
+            node[x[-1]] = (node[x[-1]][0] if x[-1] in node else none, t)
 
     def step(self, x: int, y: int) -> bool:
         """Whether the state of ``x`` has arc ``y``: one look into its row."""
@@ -172,7 +171,7 @@ class BpeAutomaton:
         if whole is not None:
             return (whole,)
         n = len(word)
-        goes, ends, row, low, high, state, arc = self.goes.get, self.ends, self.row, self.low, self.high, self.state, self.arc
+        root, row, low, high, state, arc, right_of = self.root, self.row, self.low, self.high, self.state, self.arc, bisect.bisect_right
         into = [-1] * (n + 1)  # the label that enters each position's state
         for at in range(n):
             # The start has every arc; ``step``, written out, tells which ones another state has.
@@ -180,17 +179,18 @@ class BpeAutomaton:
             if at:
                 own = state[into[at]]
                 first, stop = row[own], row[own + 1]
-            node = 0
-            for to in range(at, n):
-                node = goes(node << 8 | word[to])
-                if node is None:
+            node, to = root, at
+            for byte in word[at:]:
+                found = node.get(byte)
+                if found is None:
                     break
-                y = ends[node]
-                if y >= 0 and into[to + 1] < 0:
+                node, y = found
+                to += 1
+                if y >= 0 and into[to] < 0:
                     place = arc[y]
-                    k = bisect.bisect_right(low, place, first, stop) - 1
+                    k = right_of(low, place, first, stop) - 1
                     if k < first or high[k] < place:
-                        into[to + 1] = y
+                        into[to] = y
         path, label = [], self.label
         while n:
             path.append(into[n])
@@ -236,7 +236,7 @@ class WordCache(dict):
 class Encoder:
     """Texts to ids, with a bounded cache of words."""
 
-    def __init__(self, path: str, cache_size: int = 150_000):
+    def __init__(self, path: str, cache_size: int = 200_000):
         self.auto, self.split = automaton(path), BytePretokens(path).split
         self.words = WordCache(self.auto, cache_size)
 
