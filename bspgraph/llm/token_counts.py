@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from bspgraph.llm.pretokens import BytePretokens, library
 from bspgraph.llm.shared import Scratch, bounded_batches
-from bspgraph.llm.textops import chunks, string_buffers, trimmed
+from bspgraph.llm.textops import chunks, gathered, string_buffers, trimmed
 
 #: Pre-tokens longer than this are encoded without being cached.
 LONG = 48
@@ -39,11 +39,14 @@ def count_pretokens(pieces: list[list[str]], frequent: dict[str, int], path: str
     if new:
         for x, got in zip(new, library(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
             (cache if len(x) <= LONG else once)[x] = len(got.ids)
-    tiers = {**frequent, **once} if once else frequent
 
     def one(x: str) -> int:
-        n = tiers.get(x)
-        return cache[x] if n is None else n
+        n = frequent.get(x)
+        if n is None:
+            n = cache.get(x)
+            if n is None:
+                n = once[x]
+        return n
 
     return [sum(map(one, x)) for x in pieces]
 
@@ -92,7 +95,7 @@ def token_counts(
 
     def count(batches):
         split, frequent = BytePretokens(tokenizer).split, table.value
-        for batch in chunks(batches, 1):
+        for batch in chunks(gathered(batches, 1, 4 << 20), 1):
             texts = batch.column(1).fill_null("")
             sizes = string_buffers(texts)[1]
             n = count_pretokens([split(x) for x in texts.to_pylist()], frequent, tokenizer, cache_size)
