@@ -63,17 +63,19 @@ def hilbert_index(codes: list[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, level, lambda s: s["h"])
 
 
+def rows_before(sizes: DataFrame) -> DataFrame:
+    """(p, before) of (p, n), which has one row a partition: the rows in partitions of smaller number."""
+    return sizes.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
+
+
 def value_bounds(scratch: Scratch, df: DataFrame, name: str, bits: int) -> list:
     """The values at which the row counts, cumulated in value order, pass each ``2**bits``-th of all rows: fewer than ``2**bits``."""
     counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
     ordered = scratch.save(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("p", F.spark_partition_id()), f"values-{name}")
-    before, total = [], 0
-    for p, n in sorted(ordered.groupBy("p").agg(F.sum("n")).collect()):
-        before.append((p, total))
-        total += n
+    total = ordered.agg(F.sum("n").alias("n")).first()["n"]
     if not total:
         return []
-    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "p int, before long"))
+    offsets = F.broadcast(scratch.save(rows_before(ordered.groupBy("p").agg(F.sum("n").alias("n"))), f"offsets-{name}"))
     upto = F.sum("n").over(Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     placed = ordered.select("p", "v", "n", upto.alias("upto")).join(offsets, "p").withColumn("upto", F.col("upto") + F.col("before"))
     least, most = (F.expr(f"({x} << {bits}) div {total}") for x in ("(upto - n)", "upto"))
@@ -101,9 +103,7 @@ def hilbert_shards(
     scratch.drop(base)
     # Rows before each partition: a table of as many rows as there are partitions.
     part = F.call_function("shiftright", F.col("at"), F.lit(33))
-    sizes = rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    offsets = scratch.save(sizes.select("p", before.alias("before")), "offsets")
+    offsets = scratch.save(rows_before(rows.groupBy(part.alias("p")).agg(F.count("*").alias("n"))), "offsets")
     total = rows.count()
     rows = rows.join(F.broadcast(offsets), part == offsets["p"])
     rank = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
