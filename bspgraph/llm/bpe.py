@@ -246,16 +246,16 @@ class Encoder:
 
 
 @functools.lru_cache(2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, cache_size: int = 300_000) -> Encoder:
+    return Encoder(path, cache_size)
 
 
-def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every whole text."""
+def bpe_encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", cache_size: int = 150_000) -> DataFrame:
+    """(id, ids array<int>) of every whole text. The cache is half of the round trip's, as the ids of a batch stay in memory beside it."""
     bounded_batches(spark)
 
     def encode(batches):
-        ids = encoder(tokenizer).ids
+        ids = encoder(tokenizer, cache_size).ids
         for batch in chunks(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids(x) if x else [] for x in batch.column(1).to_pylist()], pa.list_(pa.int32()))], ["id", "ids"])
 
