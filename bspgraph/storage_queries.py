@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from bspgraph import testgraphs as tg
 from bspgraph.model import COORDINATE, PAYLOADS, JobStatus
-from bspgraph.operators.partitioning import located, partition_count, range_table, ring_ranges, round_half_away
+from bspgraph.operators.partitioning import partition_count, ring_number, ring_table, round_half_away, token
 from bspgraph.plans.program import program
 from bspgraph.plans.superstep import SuperstepLoop
 from bspgraph.queries import BAD_LINES, G1, G2, paths, query
@@ -133,9 +133,9 @@ def q41_payload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q42_ranges_on_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vertices joined with their numbered ranges and those with three hosts: each vertex has one range, each range one host."""
     v = tg.supply_vertices(spark, sf_dir).select("id")
-    ranges = ring_ranges(partition_count(v.count(), 100))
-    tasks = range_table(spark, ranges).withColumn("host", F.col("range_id") % 3)
-    held = located(v, "id", ranges).groupBy("range_id").agg(F.count("*").alias("n"))
+    n = partition_count(v.count(), 100)
+    tasks = ring_table(spark, n).withColumn("host", F.col("range_id") % 3)
+    held = v.groupBy((ring_number(token(F.col("id")), n) + 1).alias("range_id")).agg(F.count("*").alias("n"))
     return tasks.join(held, "range_id", "left").agg(
         F.count("*").alias("ranges"), F.min("range_id").alias("first_id"), F.max("range_id").alias("last_id"), F.sum("n").alias("vertices"), F.count_distinct("host").alias("hosts")
     )
