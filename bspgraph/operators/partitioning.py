@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
+#: rows of a table that one task holds in a hash map, so that its memory doesn't grow with the table
+TASK_ROWS = 2**20
 #: ranges that one expression compares a token with
 TREE_RANGES = 256
 
@@ -22,6 +24,11 @@ def partition_count(rows: int, task_vertices: int) -> int:
     return max(1, round_half_away(rows / task_vertices))
 
 
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Partitions for ``rows`` rows that are hashed or aggregated: the session's number, or more where a task would get over ``TASK_ROWS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), partition_count(rows, TASK_ROWS))
+
+
 def token(column: Column) -> Column:
     return F.xxhash64(column)
 

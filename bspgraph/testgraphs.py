@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bspgraph.model import PropertyGraph
+from bspgraph.operators.partitioning import task_count
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def supply_edges(spark: SparkSession, sf_dir: str, both: bool = True) -> DataFrame:
     """Supplier to part, and back with ``both``, weighted by the least quantity."""
-    pair = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").cast("bigint").alias("value"))
+    line = table(spark, sf_dir, "lineitem")
+    # Dealt before they are folded, over as many tasks as the rows need: pairs hardly repeat, so a map-side part would only hold them all.
+    line = line.repartition(task_count(spark, line.count()), "l_suppkey", "l_partkey")
+    pair = line.groupBy("l_suppkey", "l_partkey").agg(F.min("l_quantity").cast("bigint").alias("value"))
     s, p = F.concat(F.lit("S"), "l_suppkey"), F.concat(F.lit("P"), "l_partkey")
-    out = pair.select(s.alias("src"), p.alias("dst"), "value")
-    return out.unionByName(pair.select(p.alias("src"), s.alias("dst"), "value")) if both else out
+    if not both:
+        return pair.select(s.alias("src"), p.alias("dst"), "value")
+    ways = F.array(F.struct(s.alias("src"), p.alias("dst"), "value"), F.struct(p.alias("src"), s.alias("dst"), "value"))
+    return pair.select(F.inline(ways))
 
 
 def supply_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
