@@ -75,14 +75,18 @@ def upsert(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 class PropertyGraph:
     vertices: DataFrame
     edges: DataFrame
+    #: the vertices without implicit sources, where the others are all edge sources: who holds the edges needn't make them again
+    declared: DataFrame | None = None
+    #: no fewer than the edges, where that is known; sets numbers of tasks
+    edge_rows: int = 0
 
     @staticmethod
-    def of(vertices: DataFrame, edges: DataFrame, mut: T.DataType | None = None, edge_mut: T.DataType | None = None) -> PropertyGraph:
+    def of(vertices: DataFrame, edges: DataFrame, mut: T.DataType | None = None, edge_mut: T.DataType | None = None, edge_rows: int = 0) -> PropertyGraph:
         """Base graph of loaded tables: implicit sources added, mutable values NULL."""
-        full = with_sources(vertices.select("id", "value"), edges)
-        v = full.withColumn("mut", F.lit(None).cast(mut or T.LongType()))
+        declared = vertices.select("id", "value").withColumn("mut", F.lit(None).cast(mut or T.LongType()))
+        v = with_sources(declared, edges)
         e = edges.select("src", "dst", "value").withColumn("mut", F.lit(None).cast(edge_mut or T.LongType()))
-        return PropertyGraph(v, e)
+        return PropertyGraph(v, e, declared, edge_rows)
 
     def ids(self) -> DataFrame:
         return self.vertices.select("id")

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bspgraph.functions.aggregators import AggregatorSet, aggregator_type
-from bspgraph.model import PropertyGraph
+from bspgraph.model import PropertyGraph, with_sources
 from bspgraph.operators.messages import combine, deliver, is_active
 from bspgraph.operators.mutations import apply_mutations
+from bspgraph.operators.partitioning import task_count
 from bspgraph.plans.program import ALWAYS, Context, Effects, SendAlong, SendTo, VertexProgram
 from bspgraph.storage import Workspace, path_exists
 
@@ -76,9 +77,10 @@ class DealtEdges:
 
     def __init__(self, edges: DataFrame, partitions: int, hot_degree: int):
         self.table = edges.repartition(partitions, "src").persist(StorageLevel.MEMORY_AND_DISK)
-        degrees = self.table.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > hot_degree)
+        #: (src, n), cached: one pass tells hot sources and the sources themselves
+        self.degrees = self.table.groupBy("src").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         #: (hot, parts): at most number of edges / ``hot_degree`` rows
-        self.hot = degrees.select(F.col("src").alias("hot"), F.ceil(F.col("n") / hot_degree).alias("parts")).persist()
+        self.hot = self.degrees.where(F.col("n") > hot_degree).select(F.col("src").alias("hot"), F.ceil(F.col("n") / hot_degree).alias("parts")).persist()
         if self.hot.isEmpty():
             self.hot.unpersist()
             self.hot = None
@@ -89,17 +91,22 @@ class DealtEdges:
             whole.unpersist()
         self.plain = self.table.select(*edges.columns)
 
+    @staticmethod
+    def of(spark: SparkSession, graph: PropertyGraph, hot_degree: int) -> DealtEdges:
+        return DealtEdges(graph.edges, task_count(spark, graph.edge_rows), hot_degree)
+
     def out_of(self, senders: DataFrame) -> DataFrame:
-        """``senders`` with ``dst``, ``weight`` and ``edge_mut`` of each out-edge."""
+        """``senders`` with ``dst``, ``weight`` and ``edge_mut`` of each out-edge. A task hashes its senders and streams its edges past them, so that these are never sorted."""
         columns = [F.col("src").alias("id"), "dst", F.col("value").alias("weight"), F.col("mut").alias("edge_mut")]
         if self.hot is None:
-            return senders.join(self.table.select(*columns), "id")
+            return senders.hint("shuffle_hash").join(self.table.select(*columns), "id")
         spread = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("_part")
-        spread = senders.join(F.broadcast(self.hot), F.col("id") == F.col("hot"), "left").select(*senders.columns, spread)
+        spread = senders.join(F.broadcast(self.hot), F.col("id") == F.col("hot"), "left").select(*senders.columns, spread).hint("shuffle_hash")
         return spread.join(self.table.select(*columns, "_part"), ["id", "_part"]).drop("_part")
 
     def unpersist(self) -> None:
         self.table.unpersist()
+        self.degrees.unpersist()
         if self.hot is not None:
             self.hot.unpersist()
 
@@ -133,11 +140,17 @@ def _operations(computed: DataFrame, edges: Callable[[], DealtEdges], effects: E
     return both(vertex_ops), both(edge_ops)
 
 
+def _uses_edges(effects: Effects) -> bool:
+    return bool(effects.vertex_ops or effects.edge_ops or any(isinstance(s, SendAlong) for s in effects.sends))
+
+
 class SuperstepLoop:
     def __init__(
         self, spark: SparkSession, graph: PropertyGraph, program: VertexProgram, max_supersteps: int = 500, strict: bool = True,
         root: str | None = None, cancelled: Callable[[], bool] = lambda: False, on_stats: Callable[[Stats], None] = lambda s: None, hot_degree: int = 1_000_000,
+        dealt: DealtEdges | None = None,
     ):
+        """``dealt``: the graph's edges, dealt before; the caller frees them."""
         self.spark, self.program, self.max_supersteps, self.strict = spark, program, max_supersteps, strict
         self.cancelled, self.on_stats, self.hot_degree = cancelled, on_stats, hot_degree
         self.work = Workspace(spark, program.name.lower(), root)
@@ -148,7 +161,7 @@ class SuperstepLoop:
         self._paths: dict[str, str | None] = {"state": None, "messages": None, "edges": None}
         self._pending = 0
         self._garbage: list[str | None] = []
-        self._cached: DealtEdges | None = None
+        self._cached = self._lent = dealt
 
     # -- recording -------------------------------------------------------------------------------------------------------------
     def _record(self) -> None:
@@ -171,19 +184,30 @@ class SuperstepLoop:
         self.state = self.spark.read.parquet(self._paths["state"])
         self.messages = self.spark.read.parquet(self._paths["messages"]) if self._paths["messages"] else None
         if self._paths["edges"]:
-            self.graph = PropertyGraph(self.graph.vertices, self.spark.read.parquet(self._paths["edges"]))
+            self.graph = PropertyGraph(self.graph.vertices, self.spark.read.parquet(self._paths["edges"]), edge_rows=self.graph.edge_rows)
+            self._undeal()
         return True
 
     # -- one superstep ---------------------------------------------------------------------------------------------------------
     def _edges(self) -> DealtEdges:
         if self._cached is None:
-            n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            self._cached = DealtEdges(self.graph.edges, n, self.hot_degree)
+            self._cached = DealtEdges.of(self.spark, self.graph, self.hot_degree)
         return self._cached
 
-    def _delivered(self) -> DataFrame:
+    def _undeal(self) -> None:
+        """Free the dealt edges, unless they are the caller's."""
+        if self._cached is not None and self._cached is not self._lent:
+            self._cached.unpersist()
+        self._cached = None
+
+    def _delivered(self, effects: Effects) -> DataFrame:
         kind = self.program.message_type
-        state = self.state if self.state is not None else self.graph.vertices.select("id", "value", "mut").withColumn("halted", F.lit(False))
+        state = self.state
+        if state is None:
+            vertices = self.graph.vertices
+            if self.graph.declared is not None and _uses_edges(effects):
+                vertices = with_sources(self.graph.declared, self._edges().degrees)  # not from the tables once more
+            state = vertices.select("id", "value", "mut").withColumn("halted", F.lit(False))
         if self.messages is None:
             return state.withColumn("msg", F.lit(None).cast(kind))
         return deliver(state, self.messages, self.strict)
@@ -195,11 +219,11 @@ class SuperstepLoop:
         if program.name and self.cancelled():
             raise Cancelled(program.name)
         context = Context(self.superstep, self.aggregators.frozen(), program.params)
-        rows = self._delivered().withColumn("active", is_active(F.col("halted"), F.col("msg")))
+        effects = program.compute(context)
+        rows = self._delivered(effects).withColumn("active", is_active(F.col("halted"), F.col("msg")))
         if program.pandas:
             ddl, function = program.pandas
             rows = rows.mapInPandas(function(context), f"{_ddl(rows)}, {ddl}")
-        effects = program.compute(context)
         if effects.sends and program.combiner is None:
             raise ValueError(f"program {program.name!r} sends messages and needs a combiner")
         sends = [F.col("active") & _holds(s.when) for s in effects.sends]
@@ -248,9 +272,8 @@ class SuperstepLoop:
             state, state_path = self.work.save(state.observe(seen, F.count_if(~F.col("halted")).alias("awake")), "state")
             awake = seen.get["awake"] or 0
             edges, new_edges = self.work.save(after.edges, "edges")
-            self._cached.unpersist()
-            self._cached = None
-            self.graph = PropertyGraph(self.graph.vertices, edges)
+            self._undeal()
+            self.graph = PropertyGraph(self.graph.vertices, edges, edge_rows=self.graph.edge_rows)
             self._garbage += [path, edges_path]
             edges_path = new_edges
         self._garbage += [self._paths["state"], self._paths["messages"]]
@@ -280,9 +303,7 @@ class SuperstepLoop:
                 while self._garbage:
                     self.work.drop(self._garbage.pop())
         finally:
-            if self._cached is not None:
-                self._cached.unpersist()
-                self._cached = None
+            self._undeal()
         total = Stats()
         for s in self.stats:
             total.add(s)

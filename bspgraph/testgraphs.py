@@ -33,11 +33,11 @@ def supply_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g1(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    return PropertyGraph.of(supply_vertices(spark, sf_dir), supply_edges(spark, sf_dir))
+    return PropertyGraph.of(supply_vertices(spark, sf_dir), supply_edges(spark, sf_dir), edge_rows=2 * table(spark, sf_dir, "lineitem").count())
 
 
 def g3(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    return PropertyGraph.of(supply_vertices(spark, sf_dir), supply_edges(spark, sf_dir, both=False))
+    return PropertyGraph.of(supply_vertices(spark, sf_dir), supply_edges(spark, sf_dir, both=False), edge_rows=table(spark, sf_dir, "lineitem").count())
 
 
 def g2(spark: SparkSession, sf_dir: str) -> PropertyGraph:
