@@ -33,6 +33,10 @@ from bspgraph.plans.program import ALWAYS, Context, Effects, SendAlong, SendTo,
 from bspgraph.storage import Workspace, path_exists
 
 
+#: out-edges of a source that one task may hold
+HOT_DEGREE = 1_000_000
+
+
 @dataclass
 class Stats:
     """Counts of one superstep, or their sum. ``sent`` counts combined messages: distinct targets."""
@@ -92,7 +96,7 @@ class DealtEdges:
         self.plain = self.table.select(*edges.columns)
 
     @staticmethod
-    def of(spark: SparkSession, graph: PropertyGraph, hot_degree: int) -> DealtEdges:
+    def of(spark: SparkSession, graph: PropertyGraph, hot_degree: int = HOT_DEGREE) -> DealtEdges:
         return DealtEdges(graph.edges, task_count(spark, graph.edge_rows), hot_degree)
 
     def out_of(self, senders: DataFrame) -> DataFrame:
@@ -147,7 +151,7 @@ def _uses_edges(effects: Effects) -> bool:
 class SuperstepLoop:
     def __init__(
         self, spark: SparkSession, graph: PropertyGraph, program: VertexProgram, max_supersteps: int = 500, strict: bool = True,
-        root: str | None = None, cancelled: Callable[[], bool] = lambda: False, on_stats: Callable[[Stats], None] = lambda s: None, hot_degree: int = 1_000_000,
+        root: str | None = None, cancelled: Callable[[], bool] = lambda: False, on_stats: Callable[[Stats], None] = lambda s: None, hot_degree: int = HOT_DEGREE,
         dealt: DealtEdges | None = None,
     ):
         """``dealt``: the graph's edges, dealt before; the caller frees them."""
