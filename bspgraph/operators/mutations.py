@@ -17,6 +17,10 @@ from bspgraph.model import OpType, PropertyGraph
 from bspgraph.storage import Workspace
 
 
+#: most removed ids that are broadcast, once counted
+BROADCAST_ROWS = 500_000
+
+
 def keep_first(old: Column, new: Column) -> Column:
     return old
 
@@ -62,6 +66,11 @@ def _changed(table: DataFrame, new: DataFrame, keys: list[str], missing) -> Data
     return _merged(table, new, keys).select(*keys, value.alias("value"), F.when(F.col("_new").isNull(), F.col("mut")).otherwise(F.col("new")).alias("mut"))
 
 
+def few_removals(vertex_ops: DataFrame | None) -> bool:
+    """Whether the log removes at most ``BROADCAST_ROWS`` ids."""
+    return vertex_ops is not None and _kind(vertex_ops, OpType.REMOVED).count() <= BROADCAST_ROWS
+
+
 def _with_sources(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     from bspgraph.model import with_sources
 
@@ -72,21 +81,22 @@ def remove_edges(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return edges.join(removed.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
 
 
-def remove_vertices(graph: PropertyGraph, removed: DataFrame) -> PropertyGraph:
-    """Vertices gone, with all their edges in either direction."""
+def remove_vertices(graph: PropertyGraph, removed: DataFrame, few: bool = False) -> PropertyGraph:
+    """Vertices gone, with all their edges in either direction. With ``few``, for ids counted to be no more than ``BROADCAST_ROWS``, no edge moves."""
     ids = removed.select("id").distinct()
+    ids = F.broadcast(ids) if few else ids
     edges = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return PropertyGraph(graph.vertices.join(ids, "id", "left_anti"), edges.select(*graph.edges.columns))
 
 
-def apply_mutations(graph: PropertyGraph, vertex_ops: DataFrame | None, edge_ops: DataFrame | None, handlers: Handlers = Handlers()) -> PropertyGraph:
-    """The graph after one superstep's operations. A kind of log that is None costs nothing."""
+def apply_mutations(graph: PropertyGraph, vertex_ops: DataFrame | None, edge_ops: DataFrame | None, handlers: Handlers = Handlers(), few_removed: bool = False) -> PropertyGraph:
+    """The graph after one superstep's operations. A kind of log that is None costs nothing. ``few_removed``: see ``remove_vertices``."""
     v, e = graph.vertices.select("id", "value", "mut"), graph.edges.select("src", "dst", "value", "mut")
     key, pair = ["id"], ["src", "dst"]
     if edge_ops is not None:
         e = remove_edges(e, _kind(edge_ops, OpType.REMOVED))
     if vertex_ops is not None:
-        g = remove_vertices(PropertyGraph(v, e), _kind(vertex_ops, OpType.REMOVED))
+        g = remove_vertices(PropertyGraph(v, e), _kind(vertex_ops, OpType.REMOVED), few_removed)
         v, e = g.vertices, g.edges
         v = _added(v, folded(_kind(vertex_ops, OpType.ADDED), key, "value", handlers.duplicate_vertex), key, handlers.duplicate_vertex)
     if edge_ops is not None:

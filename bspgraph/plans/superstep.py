@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from bspgraph.functions.aggregators import AggregatorSet, aggregator_type
 from bspgraph.model import PropertyGraph, with_sources
 from bspgraph.operators.messages import combine, deliver, is_active
-from bspgraph.operators.mutations import apply_mutations
+from bspgraph.operators.mutations import apply_mutations, few_removals
 from bspgraph.operators.partitioning import task_count
 from bspgraph.plans.program import ALWAYS, Context, Effects, SendAlong, SendTo, VertexProgram
 from bspgraph.storage import Workspace, path_exists
@@ -166,6 +166,7 @@ class SuperstepLoop:
         self._pending = 0
         self._garbage: list[str | None] = []
         self._cached = self._lent = dealt
+        self._recording = False
 
     # -- recording -------------------------------------------------------------------------------------------------------------
     def _record(self) -> None:
@@ -269,17 +270,23 @@ class SuperstepLoop:
         if effects.vertex_ops or effects.edge_ops:
             vertex_ops, edge_ops = _operations(stored, self._edges, effects, self.graph)
             before = PropertyGraph(state.select("id", "value", "mut"), self._edges().plain)
-            after = apply_mutations(before, vertex_ops, edge_ops, program.handlers)
+            after = apply_mutations(before, vertex_ops, edge_ops, program.handlers, few_removals(vertex_ops))
             # Vertices that the mutations made are awake; the others keep their vote.
             state = after.vertices.join(state.select("id", "halted"), "id", "left").withColumn("halted", F.coalesce("halted", F.lit(False)))
             seen = Observation()
             state, state_path = self.work.save(state.observe(seen, F.count_if(~F.col("halted")).alias("awake")), "state")
             awake = seen.get["awake"] or 0
-            edges, new_edges = self.work.save(after.edges, "edges")
+            if awake + stats.sent or self._recording:
+                counted = Observation()
+                edges, new_edges = self.work.save(after.edges.observe(counted, F.count("*").alias("n")), "edges")
+                rows = counted.get["n"] or 0
+                self._garbage += [path, edges_path]
+                edges_path = new_edges
+            else:
+                # The last superstep: nobody may ask for its edges, so they stay a plan over the tables before, which are kept.
+                edges, rows = after.edges, self.graph.edge_rows
             self._undeal()
-            self.graph = PropertyGraph(self.graph.vertices, edges, edge_rows=self.graph.edge_rows)
-            self._garbage += [path, edges_path]
-            edges_path = new_edges
+            self.graph = PropertyGraph(self.graph.vertices, edges, edge_rows=rows)
         self._garbage += [self._paths["state"], self._paths["messages"]]
         self._paths = {"state": state_path, "messages": message_path, "edges": edges_path}
         # Reading only the state's columns: later plans start from the stored files.
@@ -294,6 +301,7 @@ class SuperstepLoop:
         return self.superstep > 0 and self._pending == 0
 
     def run(self, record: bool = False) -> Run:
+        self._recording = record
         try:
             while not self.finished():
                 if self.superstep >= self.max_supersteps:
