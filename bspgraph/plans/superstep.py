@@ -144,6 +144,13 @@ def _operations(computed: DataFrame, edges: Callable[[], DealtEdges], effects: E
     return both(vertex_ops), both(edge_ops)
 
 
+def _own_columns(stored: DataFrame) -> DataFrame:
+    """The state that a superstep stored, from the table of all it computed or from one of the state alone."""
+    if "new_mut" not in stored.columns:
+        return stored
+    return stored.select("id", "value", F.col("new_mut").alias("mut"), F.col("new_halted").alias("halted"))
+
+
 def _uses_edges(effects: Effects) -> bool:
     return bool(effects.vertex_ops or effects.edge_ops or any(isinstance(s, SendAlong) for s in effects.sends))
 
@@ -172,7 +179,7 @@ class SuperstepLoop:
     def _record(self) -> None:
         """A one-row manifest beside the tables: all that ``resume`` needs."""
         held = {"superstep": self.superstep, "aggregators": self.aggregators.to_dict(), "stats": [asdict(s) for s in self.stats], "paths": self._paths, "pending": self._pending, "n": self.work.n}
-        self.spark.createDataFrame([(json.dumps(held),)], "manifest string").coalesce(1).write.mode("overwrite").text(f"{self.work.root}/manifest-{self.superstep:05d}")
+        self.spark.range(1, numPartitions=1).select(F.lit(json.dumps(held)).alias("manifest")).write.mode("overwrite").text(f"{self.work.root}/manifest-{self.superstep:05d}")
         old = f"{self.work.root}/manifest-{self.superstep - 1:05d}"
         if self.superstep > 1:
             self.work.drop(old)
@@ -186,7 +193,7 @@ class SuperstepLoop:
         self.superstep, self._paths, self._pending, self.work.n = held["superstep"], held["paths"], held["pending"], held["n"]
         self.aggregators = AggregatorSet.from_dict(held["aggregators"])
         self.stats = [Stats(**s) for s in held["stats"]]
-        self.state = self.spark.read.parquet(self._paths["state"])
+        self.state = _own_columns(self.spark.read.parquet(self._paths["state"]))
         self.messages = self.spark.read.parquet(self._paths["messages"]) if self._paths["messages"] else None
         if self._paths["edges"]:
             self.graph = PropertyGraph(self.graph.vertices, self.spark.read.parquet(self._paths["edges"]), edge_rows=self.graph.edge_rows)
@@ -264,7 +271,7 @@ class SuperstepLoop:
             if not stats.sent:
                 self.work.drop(message_path)
                 messages = message_path = None
-        state = stored.select("id", "value", F.col("new_mut").alias("mut"), F.col("new_halted").alias("halted"))
+        state = _own_columns(stored)
         edges_path = self._paths["edges"]
         state_path = path
         if effects.vertex_ops or effects.edge_ops:
@@ -308,8 +315,6 @@ class SuperstepLoop:
                     raise RuntimeError(f"{self.program.name}: not finished after {self.max_supersteps} supersteps")
                 self.step()
                 if record:
-                    if self._paths["state"] and self.state is not None:
-                        self.state, self._paths["state"] = self._narrowed()
                     self._record()
                 # Only now, as a recorded superstep must find its tables until the next one is recorded.
                 while self._garbage:
@@ -323,14 +328,6 @@ class SuperstepLoop:
         result = self.program.result(values)
         return Run(self.state, self.graph.edges, self.aggregators, self.stats, result, self.program.display(result, self.program.params), total)
 
-    def _narrowed(self) -> tuple[DataFrame, str]:
-        """The state with its own columns only, so that a resumed run can read it by path."""
-        if "computed" not in self._paths["state"].rsplit("/", 1)[-1]:
-            return self.state, self._paths["state"]
-        state, path = self.work.save(self.state, "state")
-        self._garbage.append(self._paths["state"])
-        return state, path
-
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
