@@ -76,11 +76,25 @@ def _holds(when: Column | None) -> Column:
     return F.lit(True) if when is ALWAYS else F.coalesce(when, F.lit(False))
 
 
+def _kept(dealt: DataFrame) -> DataFrame:
+    """``dealt`` cached with the edges of a source side by side, so that a pass over them looks up the same sender again and again.
+
+    Sorting by a 64-bit hash is a radix sort, and may spill. Blocks are compressed as a whole; no columns are encoded before that.
+    """
+    conf, key = dealt.sparkSession.conf, "spark.sql.inMemoryColumnarStorage.compressed"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return dealt.sortWithinPartitions(F.xxhash64("src")).persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        conf.set(key, before)
+
+
 class DealtEdges:
     """Cached edges, dealt by source; the few sources of more than ``hot_degree`` edges are dealt in parts."""
 
     def __init__(self, edges: DataFrame, partitions: int, hot_degree: int):
-        self.table = edges.repartition(partitions, "src").persist(StorageLevel.MEMORY_AND_DISK)
+        self.table = _kept(edges.repartition(partitions, "src"))
         #: (src, n), cached: one pass tells hot sources and the sources themselves
         self.degrees = self.table.groupBy("src").agg(F.count("*").alias("n")).persist(StorageLevel.MEMORY_AND_DISK)
         #: (hot, parts): at most number of edges / ``hot_degree`` rows
@@ -90,7 +104,7 @@ class DealtEdges:
             self.hot = None
         else:
             whole, part = self.table, F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
-            self.table = whole.join(F.broadcast(self.hot), F.col("src") == F.col("hot"), "left").select(*edges.columns, part.alias("_part")).repartition(partitions, "src", "_part").persist(StorageLevel.MEMORY_AND_DISK)
+            self.table = _kept(whole.join(F.broadcast(self.hot), F.col("src") == F.col("hot"), "left").select(*edges.columns, part.alias("_part")).repartition(partitions, "src", "_part"))
             self.table.count()
             whole.unpersist()
         self.plain = self.table.select(*edges.columns)
