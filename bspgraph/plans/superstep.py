@@ -114,7 +114,7 @@ class DealtEdges:
         return DealtEdges(graph.edges, task_count(spark, graph.edge_rows), hot_degree)
 
     def out_of(self, senders: DataFrame) -> DataFrame:
-        """``senders`` with ``dst``, ``weight`` and ``edge_mut`` of each out-edge. A task hashes its senders and streams its edges past them, so that these are never sorted."""
+        """``senders`` with ``dst``, ``weight`` and ``edge_mut`` of each out-edge. A task hashes its senders and streams its edges past them, so that no superstep sorts these."""
         columns = [F.col("src").alias("id"), "dst", F.col("value").alias("weight"), F.col("mut").alias("edge_mut")]
         if self.hot is None:
             return senders.hint("shuffle_hash").join(self.table.select(*columns), "id")
